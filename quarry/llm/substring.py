@@ -232,10 +232,10 @@ def dedup_substrings(docs: DataFrame, *, block_rows: int = 500) -> DataFrame:
     rest = [docs[c] for c in docs.columns if c != "text"]
     d = docs.select(deal.alias("block"), docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"), F.struct(*rest).alias("row"))
     d = d.repartition(max(1, min(n, _parts(docs))), "block")
-    slim = d.select("block", "id", "text")
-    index = slim.groupBy("block").applyInArrow(_index, _INDEX)
+    # all three passes take the same columns, so that one exchange of the texts serves them all
+    index = d.groupBy("block").applyInArrow(_index, _INDEX)
     spans = index.repartition("a").sortWithinPartitions("a", "s", "lo").mapInArrow(_groups(0), _VERDICT)
-    windows = slim.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_boundaries, _INDEX)
+    windows = d.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_boundaries, _INDEX)
     single = windows.repartition("a", "s").sortWithinPartitions("a", "s", "lo").mapInArrow(_groups(1), _VERDICT)
     schema = T.StructType([d.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("text", T.StringType())])
     out = d.groupBy("block").cogroup(spans.unionByName(single).groupBy("block")).applyInArrow(_with_text, schema)

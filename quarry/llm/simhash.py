@@ -28,6 +28,7 @@ from quarry.llm.shared import components, cut, forest
 
 RADIUS = 3
 LAST = 2**63 - 1
+BITS_AT_ONCE = 1 << 15  # hashes whose bits are laid out at a time
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -52,10 +53,14 @@ def fingerprints_of(texts: pa.Array, shingle: int = 3) -> pa.Array:
         if len(h):
             order = np.argsort(text, kind="stable")
             text, h = text[order], h[order]
-            has, first, n = np.unique(text, return_index=True, return_counts=True)
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-            out[has] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+            n = np.bincount(text, minlength=b - a)
+            ones = np.zeros((b - a, 64), np.int64)
+            for k in range(0, len(h), BITS_AT_ONCE):
+                t = text[k : k + BITS_AT_ONCE]
+                first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+                bits = np.unpackbits(h[k : k + BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                ones[t[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+            out = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
         parts.append(out)
     return pa.array((np.concatenate(parts) if parts else np.zeros(0, np.uint64)).view(np.int64))
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21  # bytes of text handled at once; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 19  # bytes of text handled at once; a longer text is a chunk of its own
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -69,11 +69,14 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> Words:
+def words(raw: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> Words:
+    """Words of the texts raw[offsets[i]:offsets[i+1]], cut before the bytes of `cuts` too."""
     inside = ~SPACE[raw]
     n = len(raw)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
+    if cuts is not None:
+        edge[:n] |= cuts
     before = np.empty(n, bool)
     before[:1] = True
     np.logical_or(~inside[:-1], edge[1:n], out=before[1:])

@@ -55,7 +55,7 @@ def _compressor(content: bytes, level: int):
 class Savings:
     """Bytes the toxic dictionary saves on each word, with a bounded cache."""
 
-    def __init__(self, model: Model, most: int = 500_000):
+    def __init__(self, model: Model, most: int = 200_000):
         self.plain, self.toxic = _compressor(model.ordinary, model.level), _compressor(model.toxic, model.level)
         self.most = most
         self.cache: dict[int, int] = {}

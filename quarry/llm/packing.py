@@ -8,7 +8,7 @@ their capacity unless their length is a power of two. There is no shuffle: each
 scans, so only its last sequence can't be chosen freely, and that one is cut into powers of two.
 
 Tokens are those of the tokenizer applied to the whole text. It never joins anything over ASCII white
-space, so distinct white-space-free words are tokenized once per task and then looked up.
+space, so distinct pieces between such bounds are tokenized once for each run of texts and looked up.
 
 Defined cases: null and empty texts are the end id alone; rows that repeat are packed as often as they
 come; an empty table packs to nothing; a null doc_id is kept as null; other columns are not read.
@@ -27,53 +27,149 @@ from pyspark.sql import functions as F
 from quarry.llm import textvec as V
 
 CAPACITY, END = 4096, 2
+TEXT_BYTES = 1 << 20  # of text that is tokenized at once
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[33:127] = True
+_MARK &= ~_LETTER
+_END = "\x01"  # ends a letter run for the rank encoder; a text that has it isn't given to that
+
+
+def letters(raw: np.ndarray) -> np.ndarray:
+    """Bytes of letters a-z, A-Z and of the two-byte letters from U+00C0 to U+00FF."""
+    lead = np.zeros(len(raw), bool)
+    if len(raw) > 1:
+        lead[:-1] = (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    out = _LETTER[raw] | lead
+    out[1:] |= lead[:-1]
+    return out
+
+
+def rank_encoder(path: str):
+    """(encode letter runs to ranks, id of each rank, which ranks end a run), or None if the file is of another kind.
+
+    A byte-level BPE with word ends over lower-cased text splits letter runs off before merging, so a
+    run can be encoded by the ranks of its merges: bytes, then bytes that end a run, then merges in order.
+    """
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, merges, suffix = model.get("vocab", {}), model.get("merges"), model.get("end_of_word_suffix")
+    if model.get("type") != "BPE" or not suffix or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the byte-level alphabet shows as themselves
+    other = [b for b in range(256) if b not in shown]
+    alphabet = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(other)}
+    end = _END.encode()
+
+    def of(token: str) -> bytes | None:
+        body, tail = (token[: -len(suffix)], end) if token.endswith(suffix) else (token, b"")
+        return bytes(alphabet[c] for c in body) + tail if all(c in alphabet for c in body) else None
+
+    ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + end: 256 + b for b in range(256) if b != 1}
+    for k, m in enumerate(merges):
+        left, right = m if isinstance(m, list) else m.split(" ")
+        if (made := (of(left) or b"") + (of(right) or b"")) in ranks:
+            return None  # two ways to one token: ranks alone wouldn't tell them apart
+        ranks[made] = 512 + k
+    ids = {of(t): i for t, i in vocab.items() if of(t)}
+    id_of = np.zeros(512 + len(merges), np.uint32)
+    ends = np.zeros(512 + len(merges), bool)
+    for token, r in ranks.items():
+        id_of[r] = ids.get(token, 0)
+        ends[r] = r >= 256 and token.endswith(end)
+    coder = tiktoken.Encoding("runs", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})
+    return coder.encode_ordinary, id_of, ends
+
+
+_LOADED: dict[str, WordTokenizer] = {}
+
+
 class WordTokenizer:
-    """Ids of whole texts from a tokenizer that treats white space as a hard bound, with a word cache."""
+    """Ids of whole texts; distinct pieces of a run of texts are tokenized once.
+
+    Pieces are cut at white space and between a letter and an ASCII mark or digit, where the tokenizer
+    never joins (an apostrophe stays with the letters after it). Letter runs go to the rank encoder, all
+    else to the tokenizer itself, and all of it if the rank encoder can't stand for the file.
+    """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.most = most
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.begin = np.zeros(1, np.int64)
-        self.pool = np.zeros(0, np.uint32)
-
-    def learn(self, keys: list[int], words: list[str]) -> None:
-        coded = self.tok.encode_batch_fast(words, add_special_tokens=False)
-        ids = [c.ids for c in coded]
-        for k in keys:
-            self.at[k] = len(self.at)
-        self.pool = np.concatenate([self.pool, np.array([x for i in ids for x in i], np.uint32)])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(i) for i in ids])])
-
-    def encode(self, w: V.Words) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, end of each word's ids)"""
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.ranked = rank_encoder(path)
+
+    @staticmethod
+    def load(path: str) -> WordTokenizer:
+        """The worker's one tokenizer for the file."""
+        if path not in _LOADED:
+            _LOADED[path] = WordTokenizer(path)
+        return _LOADED[path]
+
+    def pieces(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[V.Words, np.ndarray]:
+        """(pieces, which of them are letter runs)"""
+        body = raw.tobytes()
+        if self.ranked is None or _END.encode() in body or any(s in body for s in self.special):
+            w = V.words(raw, offsets)
+            return w, np.zeros(len(w.start), bool)
+        letter = letters(raw)
+        mark = _MARK[raw]
+        cuts = np.zeros(len(raw), bool)
+        cuts[1:] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:] & (raw[:-1] != 39))
+        w = V.words(raw, offsets, cuts)
+        upto = np.concatenate([[0], np.cumsum(letter)])
+        return w, upto[w.end] - upto[w.start] == w.end - w.start
+
+    def tokens(self, words: list[str], runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word) of distinct words."""
+        count = np.zeros(len(words), np.int64)
+        parts: list[np.ndarray] = []
+        order: list[np.ndarray] = []
+        easy, hard = np.flatnonzero(runs), np.flatnonzero(~runs)
+        if len(easy):
+            encode, id_of, ends = self.ranked
+            got = np.array(encode(" ".join([words[i].lower() + _END for i in easy])), np.int64)
+            count[easy] = np.diff(np.flatnonzero(ends[got]), prepend=-1)
+            parts.append(id_of[got])
+            order.append(easy)
+        if len(hard):
+            ids = [c.ids for c in self.tok.encode_batch_fast([words[i] for i in hard], add_special_tokens=False)]
+            count[hard] = [len(i) for i in ids]
+            parts.append(np.array([x for i in ids for x in i], np.uint32))
+            order.append(hard)
+        if not parts:
+            return np.zeros(0, np.uint32), count
+        flat, at = np.concatenate(parts), np.concatenate(order)
+        begin = np.zeros(len(words), np.int64)
+        begin[at] = np.concatenate([[0], np.cumsum(count[at])[:-1]])
+        stop = np.cumsum(count)
+        return flat[np.arange(stop[-1]) + np.repeat(begin - (stop - count), count)], count
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[V.Words, np.ndarray, np.ndarray]:
+        """(pieces, all ids, end of each piece's ids)"""
+        w, runs = self.pieces(raw, offsets)
         if not len(w.start):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+            return w, np.zeros(0, np.uint32), np.zeros(0, np.int64)
         coded = pa.array(V.word_hashes(w)).dictionary_encode()
         which = coded.indices.to_numpy()
-        keys = coded.dictionary.to_pylist()
-        if len(self.at) + len(keys) > self.most:
-            self.clear()
-        new = [i for i, k in enumerate(keys) if k not in self.at]
-        if new:
-            first = np.zeros(len(keys), np.int64)
-            first[which[::-1]] = np.arange(len(which))[::-1]
-            raw = w.raw.tobytes()
-            self.learn([keys[i] for i in new], [raw[w.start[j] : w.end[j]].decode("utf-8", "replace") for j in first[new]])
-        slot = np.array([self.at[k] for k in keys])[which]
-        n = self.begin[slot + 1] - self.begin[slot]
+        first = np.zeros(len(coded.dictionary), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        body = raw.tobytes()
+        pool, count = self.tokens([body[s:e].decode("utf-8", "replace") for s, e in zip(w.start[first].tolist(), w.end[first].tolist())], runs[first])
+        begin = np.concatenate([[0], np.cumsum(count)[:-1]])[which]
+        n = count[which]
         end = np.cumsum(n)
-        return self.pool[np.arange(end[-1]) + np.repeat(self.begin[slot] - (end - n), n)], end
+        return w, pool[np.arange(end[-1]) + np.repeat(begin - (end - n), n)], end
 
 
 def candidates(total: int, ends: np.ndarray, sentences: np.ndarray, *, grid: int = 24, gap: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -200,13 +296,12 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: i
     def run(batches):
         from pyspark import TaskContext
 
-        tok = WordTokenizer(tokenizer)
+        tok = WordTokenizer.load(tokenizer)
         packer = Packer(TaskContext.get().partitionId(), capacity, sentence_penalty, hard_penalty)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for a, b, raw, offsets in V.chunks(batch.column(1)):
-                w = V.words(raw, offsets)
-                got, word_end = tok.encode(w)
+            for a, b, raw, offsets in V.chunks(batch.column(1), TEXT_BYTES):
+                w, got, word_end = tok.encode(raw, offsets)
                 upto = np.concatenate([[0], word_end])[w.first]  # tokens before each text
                 ends = upto[1:] + np.arange(1, b - a + 1)
                 ids = np.empty(len(got) + b - a, np.uint32)

@@ -104,20 +104,30 @@ def features_of(texts: pa.Array, savings: Savings, threshold: int) -> np.ndarray
     return np.concatenate(out) if out else np.zeros((0, 5))
 
 
-def _spans(text: bytes, telling: set[bytes], n: int) -> set[bytes]:
-    """Maximal runs of telling n-byte passages inside the words of a text."""
-    got = set()
-    for word in set(text.split()):
-        w = b" " + word + b" "
-        i = 0
-        while i <= len(w) - n:
-            j = i
-            while j <= len(w) - n and w[j : j + n] in telling:
-                j += 1
-            if j > i:
-                got.add(w[i : j + n - 1])
-            i = j + 1
-    return got
+def _passages(text: bytes, n: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(the words, single spaces around each; starts of n-byte passages inside one word and its spaces; their hashes)"""
+    padded = b" " + b" ".join(text.split()) + b" "
+    raw = np.frombuffer(padded, np.uint8)
+    m = len(raw) - n + 1
+    if m <= 0:
+        return padded, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    spaces = np.concatenate([[0], np.cumsum(raw == 32)])
+    at = np.flatnonzero(spaces[n - 1 : m + n - 1] == spaces[1 : m + 1])
+    h = np.zeros(len(at), np.uint64)
+    for j in range(n):
+        h += raw[at + j].astype(np.uint64) * V._PLACE[j]
+    return padded, at, V.mix(h)
+
+
+def _spans(text: bytes, telling: np.ndarray, n: int) -> set[bytes]:
+    """Maximal runs of telling n-byte passages."""
+    padded, at, h = _passages(text, n)
+    at = at[np.isin(h, telling)]
+    if not len(at):
+        return set()
+    first = np.flatnonzero(np.append(True, np.diff(at) != 1))
+    last = np.append(first[1:], len(at)) - 1
+    return {padded[i : j + n] for i, j in zip(at[first].tolist(), at[last].tolist())}
 
 
 def dictionaries(toxic: list[bytes], plain: list[bytes], *, size: int = 8192, grams: tuple[int, ...] = (5, 7, 9), ratio: float = 8.0, share: float = 0.02) -> tuple[bytes, bytes]:
@@ -130,14 +140,12 @@ def dictionaries(toxic: list[bytes], plain: list[bytes], *, size: int = 8192, gr
     least = max(min(4, nt), share * nt)
     spans: Counter[bytes] = Counter()
     for n in grams:
-        counts = []
-        for texts in (toxic, plain):
-            c: Counter[bytes] = Counter()
-            for x in texts:
-                padded = b" " + b" ".join(x.split()) + b" "
-                c.update({padded[i : i + n] for i in range(len(padded) - n + 1)})
-            counts.append(c)
-        telling = {g for g, c in counts[0].items() if c >= least and c / nt >= ratio * (counts[1][g] + 1) / no}
+        seen, times = np.unique(np.concatenate([np.unique(_passages(x, n)[2]) for x in toxic]), return_counts=True)
+        seen, times = seen[times >= least], times[times >= least]
+        other = np.zeros(len(seen), np.int64)
+        for x in plain:
+            other += np.isin(seen, _passages(x, n)[2])
+        telling = seen[times / nt >= ratio * (other + 1) / no]
         for x in toxic:
             spans.update(_spans(x, telling, n))
     keep = [s for s, c in sorted(spans.items(), key=lambda p: (-p[1], p[0]))[:300] if c >= least / 2]
@@ -194,7 +202,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_label: tuple[int, int] = (4500, 2500), most_bytes: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, per_label: tuple[int, int] = (3000, 2000), most_bytes: int = 20_000) -> Model:
     """Train on at most per_label[k] rows of label k that aren't held out and have at most most_bytes bytes,
     in the order of a hash of doc_id."""
     some = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("_y")).distinct()

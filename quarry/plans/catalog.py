@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from quarry.plans import graph_queries, text_queries
+
+QUERIES = {**text_queries.QUERIES, **graph_queries.QUERIES}
+ORACLE_SQL = {**text_queries.ORACLE_SQL, **graph_queries.ORACLE_SQL}
 FLAGSHIP = "graph_context"

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import norm
+from quarry.operators.components import cut
 
 # Relation pairs that may stand between the same nodes in opposite directions.
 INVERSE_PAIRS = (
@@ -114,18 +115,18 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> tuple[DataFrame
     Every out-edge of the frontier is emitted; an in-edge only if its source was not reached by an
     earlier level. Within a level all nodes are alike, whatever their order.
     """
-    seen = seeds.select("qid", "id").distinct().withColumn("level", F.lit(0))
+    seen = cut(seeds.select("qid", "id").distinct().withColumn("level", F.lit(0)))
     front, emitted = seen, None
     for level in range(1, depth + 1):
         f = front.select("qid", F.col("id").alias("at"))
         out = f.join(edges, f["at"] == edges["src"]).select("qid", "src", "rel", "dst", F.col("dst").alias("id"), F.lit(True).alias("out"))
         back = f.join(edges, f["at"] == edges["dst"]).select("qid", "src", "rel", "dst", F.col("src").alias("id"), F.lit(False).alias("out"))
         new_in = back.join(seen.select("qid", "id"), ["qid", "id"], "left_anti").select(out.columns)
-        stepped = out.unionByName(new_in)
+        stepped = cut(out.unionByName(new_in).distinct())
         now = stepped.select("qid", "src", "rel", "dst").distinct().withColumn("level", F.lit(level))
         emitted = now if emitted is None else emitted.unionByName(now)
         front = stepped.select("qid", "id").distinct().join(seen.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("level", F.lit(level))
-        seen = seen.unionByName(front)
+        seen = cut(seen.unionByName(front))
     emitted = emitted.groupBy("qid", "src", "rel", "dst").agg(F.min("level").alias("level"))
     return seen, emitted
 
@@ -145,7 +146,7 @@ def paths(edges: DataFrame, seeds: DataFrame, depth: int = 3, most: int = 60) ->
     for _ in range(depth):
         step = level.join(e, F.element_at(level["chain"], -1) == e["src"])
         step = step.select("qid", F.concat("chain", F.array("dst")).alias("chain"), F.concat("ordinals", F.array("k")).alias("ordinals"))
-        level = step.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
+        level = cut(step.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n"))
         every = level if every is None else every.unionByName(level)
     return every.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
 

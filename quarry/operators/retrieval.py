@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import alnum, chunk_line, entity_line, preview, source_line, tokens, triple_line
 from quarry.operators import graph, keywords
+from quarry.operators.components import cut
 from quarry.operators.contains import contains_pairs
 
 
@@ -211,10 +212,14 @@ def _overlap(line: Column) -> Column:
 
 
 def graph_context(questions: DataFrame, g: Graph, limits: Limits = Limits()) -> DataFrame:
-    """(qid, ord, kind, line): entity records, chunks, paths and triples within the budget of characters."""
+    """(qid, ord, kind, line): entity records, chunks, paths and triples within the budget of characters.
+
+    What several parts read (the graph, keywords, seeds, traversal) is checkpointed once.
+    """
+    g = Graph(cut(g.entities), cut(g.edges), g.chunks)
     texts = g.chunks.select("id", "text")
-    kw = keywords.selected_keywords(questions, texts, limits.keywords).select("qid", "low")
-    s = seeds(kw, g.entities, limits.entities)
+    kw = cut(keywords.selected_keywords(questions, texts, limits.keywords).select("qid", "low"))
+    s = cut(seeds(kw, g.entities, limits.entities))
     named = g.entities.select("id", "name", "type", "page", F.trim(F.coalesce("source_text", F.lit(""))).alias("st"))
     qt = questions.select("qid", F.array_distinct(tokens("question", 3)).alias("qt"))
 
@@ -222,8 +227,8 @@ def graph_context(questions: DataFrame, g: Graph, limits: Limits = Limits()) ->
     out = lines.select("qid", F.lit(1).alias("part"), F.col("rank").alias("at"), F.lit(0).alias("sub"), F.lit("entity").alias("kind"), entity_line(F.col("page"), F.col("name"), F.col("type"), F.col("st")).alias("line"))
 
     edges = g.edges.select("src", "rel", "dst")
-    _, emitted = graph.reach(edges, s.select("qid", "id"), limits.depth)
-    chains = graph.paths(edges, s.select("qid", "id", "rank"), limits.depth, limits.paths)
+    emitted = cut(graph.reach(edges, s.select("qid", "id"), limits.depth)[1])
+    chains = cut(graph.paths(edges, s.select("qid", "id", "rank"), limits.depth, limits.paths))
     facts = g.edges.groupBy("src", "rel", "dst").agg(F.min_by("source_text", "page").alias("est"), F.min("page").alias("epage"))
     triples = emitted.join(facts, ["src", "rel", "dst"])
 

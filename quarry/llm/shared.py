@@ -1,26 +1,15 @@
-"""What several operators share: the checkpoint folder and connected components."""
+"""What several operators share: components of edges found in tasks."""
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.components import connected, cut
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder.
-
-    The folder is the session's spark.checkpoint.dir; only where neither it nor a checkpoint
-    directory is set (tests on one machine) is a temporary folder taken.
-    """
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-checkpoint-"))
-    return df.checkpoint(eager=True)
+__all__ = ["components", "cut", "forest"]
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,28 +58,8 @@ def _local_forests(batches):
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of the nodes of edges (u, v), both long: component is the smallest id reachable.
 
-    Each task first contracts its own edges to stars, then large-star and small-star rounds run
-    until the edges no longer change. A node's minimum is a combinable aggregate and goes back by a
-    join whose large side the adaptive planner can split, so a hub of many edges isn't one task's.
-    Self-loops and repeated edges are allowed; null ends are dropped.
+    Each task first contracts its own edges to stars around their smallest nodes, which is all that
+    the rounds over all tasks then see. Self-loops and repeated edges are allowed; null ends are dropped.
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
-    e = cut(e.mapInArrow(_local_forests, "u long, v long").distinct())
-    seen = None
-    while True:
-        # large star: every neighbour above u joins the least of u and its neighbours
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # small star: u and its smaller neighbours join the least of them
-        down = large.where("u > v").distinct()
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(low.select("u", F.col("m").alias("v")).unionByName(small).distinct())
-        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen:
-            break
-        seen = state
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    )
+    return connected(e.mapInArrow(_local_forests, "u long, v long"))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from quarry.llm.html import op1_html_extraction
-from quarry.llm.mixing import op4_mixing, op4_sql
+from quarry.llm.mixing import op4_mixing
+from quarry.llm.oracles import ORACLE_SQL
 from quarry.llm.packing import op10_packing
 from quarry.llm.quality import op7_quality_rules
 from quarry.llm.sharding import op6_sharding
@@ -13,6 +14,8 @@ from quarry.llm.toxicity import op2_toxicity
 from quarry.llm.urls import op8_url_filters
 from quarry.llm.vectors import op3_embedding_near_dedup
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -28,4 +31,3 @@ QUERIES = {
         op10_packing,
     )
 }
-ORACLE_SQL = {"op4_mixing": op4_sql()}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.operators import chunking, evaluation, graph, keywords, merging, retrieval, vector
+from quarry.operators import chunking, evaluation, graph, keywords, merging, retrieval, summary, vector
 from quarry.operators.components import component_sizes, component_summary
 from quarry.operators.contains import contains_pairs
 from quarry.plans import sql as Q
@@ -431,3 +431,60 @@ def evidence_recall(spark, d) -> DataFrame:
     """M11"""
     r = questions(spark, d).join(texts(spark, d).withColumnRenamed("id", "qid"), "qid").select("qid", F.col("question").alias("evidence"), F.col("text").alias("attached"))
     return evaluation.evidence(r).select("qid", "evidence_recall", "evidence_precision")
+
+
+# --- construction statistics --------------------------------------------------------------------
+
+@query(f"WITH {_RECORDS}, m AS (SELECT id, round(max(confidence), 9) AS confidence FROM raw GROUP BY id) SELECT (SELECT count(*) FROM raw) AS raw, count(*) AS merged, count(*) AS with_aliases, count(*) AS with_description, count(*) AS with_attributes, round(avg(confidence), 3) AS mean_confidence FROM m")
+def construction_stats(spark, d) -> DataFrame:
+    """A6, C4"""
+    e = merging.entities_of(part_records(spark, d))
+    return summary.construction(e, merging.merge_entities(e)).withColumn("raw", F.col("raw").cast("long"))
+
+
+@query("SELECT p_name AS name, count(*) AS n FROM part GROUP BY p_name ORDER BY n DESC, name LIMIT 20")
+def name_frequency(spark, d) -> DataFrame:
+    """A13, W9"""
+    return summary.name_frequency(table(spark, d, "part").select(F.col("p_name").alias("name")))
+
+
+@query("SELECT count(DISTINCT page) AS pages FROM (SELECT unnest([p_size, p_size + 1]) AS page FROM part)")
+def linked_pages(spark, d) -> DataFrame:
+    """A15"""
+    return summary.linked_pages(table(spark, d, "part").select(F.array("p_size", F.col("p_size") + 1).alias("source_pages")))
+
+
+@query(f"""WITH e AS (SELECT DISTINCT p_name AS id, unnest(list_distinct({Q.tokens("p_name || ' ' || p_type", 3)})) AS t FROM part), q AS (SELECT s_suppkey AS qid, unnest(list_distinct({Q.tokens("s_name || CASE s_suppkey % 3 WHEN 0 THEN ' blue widget' WHEN 1 THEN ' SMALL bolts' ELSE '' END", 3)})) AS t FROM supplier)
+SELECT qid, id, count(*) AS shared FROM q JOIN e USING (t) GROUP BY qid, id""")
+def question_entities(spark, d) -> DataFrame:
+    """Suppliers with made-up questions against part names, with types as aliases"""
+    k = F.col("s_suppkey") % 3
+    q = table(spark, d, "supplier").select(F.col("s_suppkey").alias("qid"), F.concat("s_name", F.when(k == 0, " blue widget").when(k == 1, " SMALL bolts").otherwise("")).alias("question"))
+    e = table(spark, d, "part").groupBy(F.col("p_name").alias("id")).agg(F.collect_set("p_type").alias("aliases")).withColumn("name", F.col("id"))
+    return summary.question_entities(q, e)
+
+
+@query("SELECT DISTINCT page, p_partkey AS id FROM (SELECT p_partkey, unnest([p_size, p_size + 1]) AS page FROM part) WHERE page IN (SELECT n_nationkey FROM nation)")
+def page_holders(spark, d) -> DataFrame:
+    """Parts linked to pages numbered like nations"""
+    e = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array("p_size", F.col("p_size") + 1).alias("source_pages"))
+    return summary.holders(e, table(spark, d, "nation").select(F.col("n_nationkey").alias("page")))
+
+
+@query(f"""WITH {_TREE}, o AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst, rel) AS k FROM t), s AS (SELECT r_regionkey AS qid, 'r' || r_regionkey AS id FROM region),
+p1 AS (SELECT qid, [id, dst] AS chain, [1, k] AS o FROM s JOIN o ON o.src = s.id), p2 AS (SELECT qid, chain || [dst] AS chain, o || [k] AS o FROM p1 JOIN o t ON t.src = chain[-1]),
+p AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2), f AS (SELECT chain FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o) AS n FROM p) WHERE n <= 60),
+c AS (SELECT count(DISTINCT x) AS n FROM (SELECT unnest(chain) AS x FROM f)), v AS (SELECT count(DISTINCT x) AS n FROM (SELECT src AS x FROM t UNION ALL SELECT dst FROM t))
+SELECT round(avg(len(chain) - 1), 6) AS mean_hops, round(avg(CASE WHEN len(chain) > 2 THEN 1.0 ELSE 0.0 END), 6) AS multi_hop_share, round(100.0 * any_value(c.n) / any_value(v.n), 4) AS coverage FROM f, c, v""")
+def path_statistics(spark, d) -> DataFrame:
+    """A23"""
+    e = tree(spark, d)
+    seeds = table(spark, d, "region").select(F.col("r_regionkey").alias("qid"), F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(1).alias("rank"))
+    n = e.select(F.explode(F.array("src", "dst")).alias("x")).distinct().count()
+    return summary.path_statistics(graph.paths(e, seeds), n)
+
+
+@query()
+def chunk_starts(spark, d) -> DataFrame:
+    """A16"""
+    return summary.chunk_starts(chunking.chunk(table(spark, d, "documents")))

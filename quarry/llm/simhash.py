@@ -27,6 +27,9 @@ from quarry.llm import textvec as V
 from quarry.llm.shared import components, cut, forest
 
 RADIUS = 3
+#: Differing bits that a five-word Jaccard similarity of 0.8 comes to: an edited word breaks five of the
+#: five-word shingles but three of the three-word ones, so their cosine is about 0.93, an angle of 0.117 pi.
+SIMILAR_RADIUS = 7
 LAST = 2**63 - 1
 BITS_AT_ONCE = 1 << 15  # hashes whose bits are laid out at a time
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -225,8 +228,10 @@ def plan(classes: DataFrame, radius: int = RADIUS) -> list[int]:
     for k, p in enumerate(parts):
         c0, c1 = zero.get(k, 0.0), first.get(k, 0.0)
         rate = max(2.0, c1 / max(c0, 1.0))
-        counts = [0.0, c0, c1, c1 * rate / 2, c1 * rate * rate / 6]
-        costs.append([0.0] + [counts[t + 1] + 8.0 * n * comb(len(p), t) for t in range(radius + 1)])
+        counts = [c0, c1]
+        while len(counts) <= radius:
+            counts.append(counts[-1] * rate / len(counts))
+        costs.append([0.0] + [counts[t] + 8.0 * n * comb(len(p), t) for t in range(radius + 1)])
     return [m for p, t in zip(parts, allocate(costs, radius + 1)) for m in masks_of(p, t)]
 
 
@@ -248,9 +253,9 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     return marked.join(of, "fp").select("doc_id", "fp", "component", "component_id", "text_hash")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def keep_one(docs: DataFrame, *, radius: int = SIMILAR_RADIUS) -> DataFrame:
     """docs' columns of one document of each group: the one of the smallest doc_id, null last."""
-    groups = near_duplicates(docs.select("doc_id", "text"), **how)
+    groups = near_duplicates(docs.select("doc_id", "text"), radius=radius)
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"))
     first = first.select(F.coalesce("one.doc_id", F.lit(LAST)).alias("_d"), F.col("one.text_hash").alias("_h"))
     d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("_d"), F.xxhash64(docs["text"]).alias("_h"))

@@ -31,6 +31,7 @@ from quarry.llm import textvec as V
 WINDOW, GRAM = 13, 4
 LAST = 2**63 - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+SPANS = T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])))
 _INDEX = "a long, s long, block long, lo long, hi long"
 _VERDICT = "block long, kind int, a long, s long, low long, more boolean"
 
@@ -204,7 +205,7 @@ def _boundaries(table: pa.Table, verdicts: pa.Table) -> pa.Table:
 def _strip(table: pa.Table, verdicts: pa.Table) -> pa.Table:
     ids = _ids(table)
     spans, single = Verdicts(verdicts, 0), Verdicts(verdicts, 1)
-    n_words, n_removed, kept = [], [], []
+    n_words, n_removed, kept, spans_at, first, last = [], [], [], [np.zeros(1, np.int64)], [], []
     for a, b, raw, offsets in V.chunks(table.column("text")):
         f = Factors(raw, offsets)
         own = ids[a:b][f.text]
@@ -218,12 +219,23 @@ def _strip(table: pa.Table, verdicts: pa.Table) -> pa.Table:
         n_removed.append(V.sums(gone, f.words.first))
         body, at, _ = V.joined(f.words, ~gone)
         kept.append(V.strings(body, at).cast(pa.string()))
-    add = {"n_words": pa.array(np.concatenate(n_words)), "n_removed": pa.array(np.concatenate(n_removed)), "kept_text": pa.chunked_array(kept)}
+        text = f.words.text
+        edge = np.append(True, (gone[1:] != gone[:-1]) | (text[1:] != text[:-1])) if len(gone) else np.zeros(0, bool)
+        begin = np.flatnonzero(edge & gone)
+        end = np.append(np.flatnonzero(edge), len(gone))
+        end = end[np.searchsorted(end, begin, "right")]
+        first.append(begin - f.words.first[text[begin]])
+        last.append(end - f.words.first[text[begin]])
+        spans_at.append(spans_at[-1][-1] + np.cumsum(np.bincount(text[begin], minlength=b - a)))
+    runs = pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (first, last)], ["first", "end"])
+    offsets = np.concatenate(spans_at).astype(np.int32)
+    add = {"n_words": pa.array(np.concatenate(n_words)), "n_removed": pa.array(np.concatenate(n_removed)), "kept_text": pa.chunked_array(kept), "spans": pa.ListArray.from_arrays(pa.array(offsets), runs)}
     return pa.table({"row": table.column("row"), **add})
 
 
 def dedup_substrings(docs: DataFrame, *, block_rows: int = 500) -> DataFrame:
-    """docs' columns (doc_id and text among them) in a struct `row`, with n_words, n_removed, kept_text.
+    """docs' columns (doc_id and text among them) in a struct `row`, with n_words, n_removed, kept_text
+    and spans, the runs of removed words (from `first` on, before `end`).
 
     block_rows: texts in a block, on average; a block is what one task holds at a time.
     """
@@ -237,15 +249,15 @@ def dedup_substrings(docs: DataFrame, *, block_rows: int = 500) -> DataFrame:
     spans = index.repartition("a").sortWithinPartitions("a", "s", "lo").mapInArrow(_groups(0), _VERDICT)
     windows = d.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_boundaries, _INDEX)
     single = windows.repartition("a", "s").sortWithinPartitions("a", "s", "lo").mapInArrow(_groups(1), _VERDICT)
-    schema = T.StructType([d.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("text", T.StringType())])
+    schema = T.StructType([d.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), SPANS, T.StructField("text", T.StringType())])
     out = d.groupBy("block").cogroup(spans.unionByName(single).groupBy("block")).applyInArrow(_with_text, schema)
     order = [F.col("text") if c == "text" else F.col("row")[c] for c in docs.columns]
-    return out.select(F.struct(*(c.alias(n) for c, n in zip(order, docs.columns))).alias("row"), "n_words", "n_removed", "kept_text")
+    return out.select(F.struct(*(c.alias(n) for c, n in zip(order, docs.columns))).alias("row"), "n_words", "n_removed", "kept_text", "spans")
 
 
 def _with_text(table: pa.Table, verdicts: pa.Table) -> pa.Table:
     if not table.num_rows:
-        return pa.table({"row": table.column("row"), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string()), "text": table.column("text")})
+        return pa.table({"row": table.column("row"), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string()), "spans": pa.array([], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), "text": table.column("text")})
     return _strip(table, verdicts).append_column("text", table.column("text"))
 
 

@@ -31,6 +31,12 @@ def test_substring_matches_brute_force(docs, rows):
         got = d.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
         assert Counter(map(tuple, got)) == Counter(brute.substring([(a, b) for a, b, *_ in rows]))
     assert d.select("row.*").columns == docs.columns
+    for r in d.select("row.text", "kept_text", "spans").collect():
+        w = brute.words(r["text"])
+        for s in reversed(r["spans"]):
+            assert s["end"] - s["first"] >= 13
+            del w[s["first"] : s["end"]]
+        assert " ".join(w) == r["kept_text"]
 
 
 def test_substring_empty(spark, docs):
@@ -77,11 +83,18 @@ def test_simhash_matches_brute_force(docs, rows):
             low[k] = d if low[k] is None else min(low[k], d)
     want = Counter((d, f, low[k]) for (d, *_), f, k in zip(rows, fps, label))
     assert Counter((d, f & (2**64 - 1), c) for d, f, c in got) == want
-    kept = simhash.keep_one(docs)
+    kept = simhash.keep_one(docs, radius=3)
     assert kept.columns == docs.columns and kept.count() == len(set(label))
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_simhash_wide_radius(docs, rows):
+    fps = [brute.fingerprint(t) for _, t, *_ in rows]
+    label = brute.groups(fps, lambda a, b: (a ^ b).bit_count() <= 7)
+    got = simhash.near_duplicates(docs, radius=7)
+    assert got.select("component").distinct().count() == len(set(label)) == simhash.keep_one(docs).count()
+
+
 def test_simhash_thresholds_lose_no_link(spark):
     r = np.random.default_rng(5)
     base = r.integers(0, 2**63, 300, dtype=np.uint64)

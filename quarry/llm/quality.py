@@ -92,18 +92,16 @@ def stats(text: Column) -> Column:
 
 
 def features(s: Column) -> dict[str, Column]:
-    """What rules may test: shares that don't grow with the length of the text. No text: 0."""
+    """What rules may test: shares that depend neither on the length of the text nor on its language. No text: 0."""
     words = F.greatest(s["n_words"], F.lit(1)).cast("double")
     chars = F.greatest(s["word_chars"], F.lit(1)).cast("double")
     return {
-        "chars_per_word": s["word_chars"] / words,
         "symbols_per_word": s["n_symbols"] / words,
         "repeat_share": s["n_repeat_words"] / words,
         "duplicate_line_share": s["n_dup_lines"] / F.greatest(s["n_lines"], F.lit(1)).cast("double"),
         "upper_share": s["n_upper"] / chars,
         "marks_per_word": s["n_marks"] / words,
         "digit_share": s["n_digits"] / chars,
-        "words": s["n_words"].cast("double"),
     }
 
 
@@ -124,6 +122,19 @@ class DecisionList:
         return F.lit(True) if verdict is None else verdict.otherwise(True)
 
 
+def base_failed(s: Column) -> Column:
+    """Under 50 words, or over half of them in repeated three-word windows."""
+    return (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
+
+
+def tidy(rule: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
+    """The rule with one bound for each feature and side, the tightest."""
+    out: dict[tuple[str, str], float] = {}
+    for name, op, t in rule:
+        out[name, op] = (min if op == "<=" else max)(out.get((name, op), t), t)
+    return [(name, op, t) for (name, op), t in out.items()]
+
+
 def _hits(x: np.ndarray, names: list[str], rule) -> np.ndarray:
     ok = np.ones(len(x), bool)
     for name, op, t in rule:
@@ -180,19 +191,20 @@ def learn(x: np.ndarray, bad: np.ndarray, names: list[str], *, precision: float
         hit = _hits(x, names, rule) & left
         if (hit & bad).sum() < support or (hit & bad).sum() < precision * hit.sum():
             break
-        out.rules.append(rule)
+        out.rules.append(tidy(rule))
         left &= ~hit
     return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, **how) -> DecisionList:
-    """Learn from at most `sample` labelled rows, taken in the order of a hash of their doc_id.
+    """Learn from at most `sample` labelled rows that pass the base rule, in the order of a hash of their doc_id.
 
     The sample's bound lets its labels be broadcast and its statistics come to the driver.
     """
     some = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").alias("_label")).orderBy(F.xxhash64("doc_id"), "_label").limit(sample)
     d = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "_label", stats(F.col("text")).alias("s"))
     cols = features(F.col("s"))
+    d = d.where(~base_failed(F.col("s")))
     rows = d.select("doc_id", "_label", *(c.alias(n) for n, c in cols.items())).orderBy(F.xxhash64("doc_id"), "_label", *cols).limit(sample).collect()
     names = list(cols)
     x = np.array([[r[n] for n in names] for r in rows], float).reshape(len(rows), len(names))
@@ -202,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 12_000, **how) -> D
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """docs' columns in a struct `row`, the statistics `s`, base_failed and kept."""
     s = F.col("s")
-    base = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
+    base = base_failed(s)
     d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), stats(docs["text"]).alias("s"))
     return d.select("row", "s", base.alias("base_failed"), (~base & rules.keep(features(s))).alias("kept"))
 

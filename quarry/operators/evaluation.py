@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.metrics import NAMES, all_metrics
+from quarry.functions.metrics import NAMES, with_metrics
 from quarry.functions.text import tokens
 
 # What infrastructure failures look like in an error text.
@@ -14,7 +14,7 @@ TRANSPORT_HINTS = ("timed out", "timeout", "connection", "getaddrinfo", "urlopen
 
 def scored(records: DataFrame) -> DataFrame:
     """records (answer, truth, contexts, ...) with the nine metrics."""
-    return records.withColumns(all_metrics(F.col("answer"), F.col("truth"), F.col("contexts")))
+    return with_metrics(records)
 
 
 def rolled_up(metrics: DataFrame, places: int = 6) -> DataFrame:

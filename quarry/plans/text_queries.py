@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.functions.metrics import all_metrics, context_precision, context_recall
+from quarry.functions.metrics import with_metrics
 from quarry.operators import evaluation, keywords, retrieval
 from quarry.plans import sql as Q
 from quarry.sources.tables import table
@@ -168,8 +168,7 @@ _NAMES = ("exact_match", "f1_score", "answer_accuracy", "faithfulness", "context
 
 
 def _metrics(spark, d, names) -> DataFrame:
-    got = all_metrics(F.col("answer"), F.col("truth"), F.col("contexts"))
-    return turns(spark, d).select("conv_id", "turn", "n", *(F.round(got[n], 6).alias(n) for n in names))
+    return with_metrics(turns(spark, d), names).select("conv_id", "turn", "n", *(F.round(n, 6).alias(n) for n in names))
 
 
 def _metrics_sql(names) -> str:
@@ -230,9 +229,9 @@ SELECT qid, round(list_sum(list_transform(cw, lambda c: CASE WHEN len(c) > 0 THE
 def retrieval_quality(spark, d) -> DataFrame:
     """M5, M6 of the lexical retriever"""
     top = lexical_topk(spark, d).join(texts(spark, d), "id").groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("contexts"))
-    t = top.join(questions(spark, d), "qid")
-    c, q = F.col("contexts"), F.col("question")
-    return t.select("qid", F.round(context_precision(c, q), 6).alias("context_precision"), F.round(context_recall(c, q), 6).alias("context_recall"))
+    names = ("context_precision", "context_recall")
+    t = with_metrics(top.join(questions(spark, d), "qid"), names, answer="question", truth="question")
+    return t.select("qid", *(F.round(n, 6).alias(n) for n in names))
 
 
 @query(f"""WITH q AS (SELECT item_id AS qid, unnest(list_distinct({Q.tokens('text')})) AS t FROM benchmark),

@@ -93,6 +93,6 @@ TEXT = st.text(alphabet="abé1 .,-", max_size=14)
 def test_metrics_match_plain_versions(spark, rows):
     rows += [("", "x", ["x"]), ("x", "", ["y"]), ("x x y", "x y", []), ("a", "a", [""])]
     df = spark.createDataFrame(rows, "answer string, truth string, contexts array<string>").coalesce(1)
-    got = df.select(*(c.alias(n) for n, c in M.all_metrics(F.col("answer"), F.col("truth"), F.col("contexts")).items())).collect()
+    got = M.with_metrics(df).select(*M.NAMES).collect()
     for r, g in zip(rows, got):
         assert all(math.isclose(x, y, abs_tol=1e-9) for x, y in zip(g, plain(*r))), (r, tuple(g), plain(*r))

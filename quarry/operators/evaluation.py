@@ -122,10 +122,8 @@ def truth_rank(candidates: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def side_by_side(a: DataFrame, b: DataFrame, order: str) -> DataFrame:
-    """Two record lists joined by position, the shorter one padded with nulls.
+    """Two record lists joined by their position in column `order`, the shorter one padded with nulls."""
 
-    Positions come from counts by range, so that no task numbers all rows.
-    """
     def numbered(d: DataFrame, name: str) -> DataFrame:
         return d.select(F.col(order).alias("at"), F.struct(*d.columns).alias(name))
 

@@ -313,6 +313,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: i
                 if packer.size >= hold:
                     if rows := packer.pack(False):
                         yield _batch(rows)
+            V.release()
         if rows := packer.pack(True):
             yield _batch(rows)
 

@@ -74,6 +74,7 @@ def stats_of(texts: pa.Array) -> pa.Array:
         for i in range(b - a):
             out[i, 3], out[i, 8] = _duplicate_lines(body[offsets[i] : offsets[i + 1]].decode("utf-8", "replace"))
         parts.append(out)
+    V.release()
     all_ = np.concatenate(parts) if parts else np.zeros((0, len(STATS)), np.int64)
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(all_[:, k])) for k in range(len(STATS))], list(STATS))
 

@@ -65,6 +65,7 @@ def fingerprints_of(texts: pa.Array, shingle: int = 3) -> pa.Array:
                 ones[t[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
             out = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
         parts.append(out)
+    V.release()
     return pa.array((np.concatenate(parts) if parts else np.zeros(0, np.uint64)).view(np.int64))
 
 

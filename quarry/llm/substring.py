@@ -122,6 +122,7 @@ def _index(table: pa.Table) -> pa.Table:
         d = ids[a:b][f.text]
         got.append((f.anchor, f.span, d))
     a, s, d = (np.concatenate(x) for x in zip(*got))
+    V.release()
     return _table(_least(a, s, table.column("block")[0].as_py(), d, d), _INDEX)
 
 

@@ -6,6 +6,8 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, which in UTF-8 i
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -163,3 +165,10 @@ def strings(raw: np.ndarray, offsets: np.ndarray) -> pa.Array:
     off = np.ascontiguousarray(offsets, np.int64)
     array = pa.Array.from_buffers(pa.large_string(), len(off) - 1, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(raw.tobytes())])
     return array.cast(pa.string()) if len(raw) < 2**31 - 1 else array
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that a worker is small between batches."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -101,6 +101,7 @@ def features_of(texts: pa.Array, savings: Savings, threshold: int) -> np.ndarray
             x[has, 3] = np.log1p(V.sums(got >= threshold, w.first)[has])
             x[has, 4] = np.log1p(w.counts[has])
         out.append(x)
+    V.release()
     return np.concatenate(out) if out else np.zeros((0, 5))
 
 

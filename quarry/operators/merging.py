@@ -7,7 +7,7 @@ confidence, evidence, source_pages, source_chunks, frequency, ord. `ord` is the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import alnum, entity_type, is_rejected, norm, relation, slug
@@ -106,9 +106,10 @@ def resolve_cross_chunk(r: DataFrame, e: DataFrame) -> DataFrame:
 def merge_by_name(e: DataFrame) -> DataFrame:
     """A3: (id, survivor) of every entity: in each group of one normalised name the most frequent
     survives, then the one of the longest description, then the first."""
-    w = Window.partitionBy(norm("canonical_name"))
-    best = F.first("id").over(w.orderBy(F.desc("frequency"), F.desc(F.char_length(F.coalesce("description", F.lit("")))), "ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return e.select("id", best.alias("survivor"))
+    key = norm("canonical_name").alias("_k")
+    worth = F.struct("frequency", F.char_length(F.coalesce("description", F.lit(""))).alias("n"), (-F.col("ord")).alias("o"))
+    best = e.groupBy(key).agg(F.max_by("id", worth).alias("survivor"))
+    return e.select("id", key).join(best, "_k").select("id", "survivor")
 
 
 def collapse(e: DataFrame) -> DataFrame:

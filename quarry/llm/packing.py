@@ -99,7 +99,8 @@ class WordTokenizer:
 
     Pieces are cut at white space and between a letter and an ASCII mark or digit, where the tokenizer
     never joins (an apostrophe stays with the letters after it). Letter runs go to the rank encoder, all
-    else to the tokenizer itself, and all of it if the rank encoder can't stand for the file.
+    else to the tokenizer itself, and all of it if the rank encoder can't stand for the file. If the
+    tokenizer keeps white space, whole texts are its pieces.
     """
 
     def __init__(self, path: str):
@@ -107,7 +108,9 @@ class WordTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
-        self.ranked = rank_encoder(path)
+        ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        self.drops_space = ids(" ab \n\tcd ") == ids("ab") + ids("cd")
+        self.ranked = rank_encoder(path) if self.drops_space else None
 
     @staticmethod
     def load(path: str) -> WordTokenizer:
@@ -118,6 +121,10 @@ class WordTokenizer:
 
     def pieces(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[V.Words, np.ndarray]:
         """(pieces, which of them are letter runs)"""
+        if not self.drops_space:
+            full = offsets[1:] > offsets[:-1]
+            w = V.Words(raw, offsets[:-1][full], offsets[1:][full], np.concatenate([[0], np.cumsum(full)]))
+            return w, np.zeros(len(w.start), bool)
         body = raw.tobytes()
         if self.ranked is None or _END.encode() in body or any(s in body for s in self.special):
             w = V.words(raw, offsets)

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, packing, quality, simhash, substring
+from quarry.llm import jaccard, mixing, packing, quality, substring
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -25,8 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays, the one of the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group stays, the one of the smallest doc_id; texts of a five-word Jaccard similarity of 0.8 are linked."""
+    return jaccard.keep_one(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,246 @@
+"""Near-duplicates by word shingles, exactly: the pairs of texts whose sets of five-word shingles have
+a Jaccard similarity of at least 0.8.
+
+Two sets x and y of that similarity share at least 4/5 of the larger one, so in any one order of all
+shingles they share one of the first |x|/5 + 1 of x and of the first |y|/5 + 1 of y (prefix filter).
+Classes of equal sets meet in the buckets of their prefixes; the pairs that sizes and positions admit
+are compared on the whole sets, and only those that reach the threshold become links. A first round
+compares neighbours in the buckets, a second one all pairs that the first has not yet put into one
+component, so a large group of near copies is not compared pair by pair. The order puts shingles that
+are frequent in a sample last; it decides how many pairs are compared, never which links are found.
+
+Defined cases: words are those of the fingerprints (ASCII letters in lower case); a text of one to
+four words is one shingle; null and texts without words are equal.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quarry.llm import textvec as V
+from quarry.llm.shared import components, cut
+from quarry.llm.simhash import _LOWER, LAST, one_of_each
+
+SHINGLE = 5
+SHARE = 5  # a similarity of 0.8 leaves one fifth of the larger set unshared
+SMALL = 1 << 21  # rows that may be broadcast
+SAMPLE, FREQUENT = 1 << 14, 1 << 16  # texts and shingles that the order is made of
+
+
+def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, offsets): the sorted distinct shingle hashes of each text."""
+    parts, sizes = [], []
+    for a, b, raw, offsets in V.chunks(texts):
+        w = V.words(_LOWER[raw], offsets)
+        words = V.word_hashes(w)
+        at = V.starts_of_ngrams(w, SHINGLE)
+        text, h = [w.text[at]], [V.ngram_hashes(words, SHINGLE)[at]]
+        for n in range(1, SHINGLE):
+            short = np.flatnonzero(w.counts == n)
+            text.append(short)
+            h.append(V.ngram_hashes(words, n, 1)[w.first[short]])
+        text, h = np.concatenate(text), np.concatenate(h)
+        order = np.lexsort((h, text))
+        text, h = text[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+        parts.append(h[new])
+        sizes.append(np.bincount(text[new], minlength=b - a))
+    flat = np.concatenate([np.zeros(0, np.uint64), *parts])
+    return flat, np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes]))
+
+
+def _class(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A number of each shingle set."""
+    total = V.sums(V.mix(flat ^ np.uint64(0x9E3779B97F4A7C15)).view(np.int64), offsets)
+    return V.mix(total.view(np.uint64) + np.diff(offsets).astype(np.uint64)).view(np.int64)
+
+
+@F.arrow_udf(T.LongType())
+def shingle_class(t: pa.Array) -> pa.Array:
+    out = pa.array(np.concatenate([np.zeros(0, np.int64), *(_class(*shingle_sets(t.slice(k, 1024))) for k in range(0, len(t), 1024))]))
+    V.release()
+    return out
+
+
+def _prefixes(frequent: np.ndarray, counts: np.ndarray, most: int = 1 << 20):
+    """Of rows (text): the prefix of each shingle set that the task hasn't seen, with its size and class."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                flat, offsets = shingle_sets(batch.column(0).slice(k, 1024))
+                size = np.diff(offsets)
+                cls = _class(flat, offsets)
+                fresh = np.zeros(len(cls), bool)
+                for i in np.unique(cls, return_index=True)[1].tolist():
+                    fresh[i] = int(cls[i]) not in seen
+                if len(seen) < most:
+                    seen.update(cls.tolist())
+                text = np.repeat(np.arange(len(size)), size)
+                often = np.zeros(len(flat), np.int64)
+                if len(frequent) and len(flat):
+                    at = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
+                    often = np.where(frequent[at] == flat, counts[at], 0)
+                order = np.lexsort((flat, often, text))
+                place = np.arange(len(flat)) - np.repeat(offsets[:-1], size)
+                head = (place <= np.repeat(size // SHARE, size)) & np.repeat(fresh, size)
+                columns = (flat[order][head].view(np.int64), size[text[head]] << 32 | place[head], cls[text[head]])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sh", "at", "cls"])
+            V.release()
+
+    return run
+
+
+def _sets(batches):
+    """Of rows (text): the shingles of each."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 1024):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(batch.column(0).slice(k, 1024))[0].view(np.int64))], names=["h"])
+        V.release()
+
+
+def _compare(batches):
+    """Of rows (u, v, cls, text) sorted by all but the text: the pairs u, v whose texts have a Jaccard similarity of at least 0.8, which is 9 |x and y| >= 4 (|x| + |y|)."""
+    last, x = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            flat, offsets = shingle_sets(part.column(3))
+            found = []
+            for i, now in enumerate(zip(*(part.column(c).to_pylist() for c in range(3)))):
+                y = flat[offsets[i] : offsets[i + 1]]
+                if last is not None and last[:2] == now[:2] and last[2] != now[2]:
+                    if 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)):
+                        found.append(now[:2])
+                last, x = now, y
+            x = x.copy()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["u", "v"])
+        V.release()
+
+
+def _whole_buckets(work, names):
+    """Streams rows sorted by their first column; calls work with the columns of whole buckets."""
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(tuple(batch.column(n).to_numpy(zero_copy_only=False) for n in names))
+            rows += batch.num_rows
+            if rows < 200_000:
+                continue
+            cols = [np.concatenate(c) for c in zip(*held)]
+            end = int(np.searchsorted(cols[0], cols[0][-1]))
+            if end:
+                yield from work(*(c[:end] for c in cols))
+            held, rows = [tuple(c[end:] for c in cols)], 0
+        if held:
+            yield from work(*(np.concatenate(c) for c in zip(*held)))
+
+    return run
+
+
+def _shared(sh, at, cls):
+    """The rows of buckets of two classes or more, each class once."""
+    new = np.ones(len(sh), bool)
+    new[1:] = (sh[1:] != sh[:-1]) | (cls[1:] != cls[:-1])
+    sh, at, cls = sh[new], at[new], cls[new]
+    same = sh[1:] == sh[:-1]
+    keep = np.append(same, False) | np.append(False, same)
+    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (sh, at, cls)], names=["sh", "at", "cls"])
+
+
+def _pairs(reach: int | None):
+    """Pairs of a bucket, at most `reach` rows apart, that sizes and positions admit and that aren't in one component yet."""
+
+    def work(sh, at, cls, comp=None):
+        size, pos = at >> 32, at & 0xFFFFFFFF
+        comp = cls if comp is None else comp
+        us, vs, held = [], [], 0
+        i, d = np.arange(len(sh)), 0
+        while reach is None or d < reach:
+            d += 1
+            i = i[i + d < len(sh)]
+            # rows of a bucket are sorted by size, so what is too long here is too long further on
+            i = i[(sh[i] == sh[i + d]) & (5 * size[i] >= 4 * size[i + d])]
+            if not len(i):
+                break
+            j = i + d
+            # of the first shingle that two sets share, all others come after it in both
+            most = np.minimum(size[i] - pos[i], size[j] - pos[j])
+            ok = (comp[i] != comp[j]) & (9 * most >= 4 * (size[i] + size[j]))
+            us.append(np.minimum(cls[i[ok]], cls[j[ok]]))
+            vs.append(np.maximum(cls[i[ok]], cls[j[ok]]))
+            held += len(us[-1])
+            if held > 1_000_000:
+                yield _distinct(us, vs)
+                us, vs, held = [], [], 0
+        if held:
+            yield _distinct(us, vs)
+
+    return work
+
+
+def _distinct(us, vs):
+    pairs = np.unique(np.rec.fromarrays([np.concatenate(us), np.concatenate(vs)], names="u,v"))
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[n])) for n in ("u", "v")], names=["u", "v"])
+
+
+def _small(df: DataFrame) -> tuple[DataFrame, bool]:
+    """df, to be broadcast if it has at most SMALL rows, and whether it is."""
+    small = df.count() <= SMALL
+    return (F.broadcast(df) if small else df), small
+
+
+def _verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (u, v) of classes whose texts reach the threshold."""
+    pairs = cut(pairs.distinct())
+    ends = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("cls"))
+    one = marked.join(ends.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("text_hash", "d")).alias("one"))
+    ends, _ = _small(cut(ends.join(one, "cls").select("u", "v", "cls", "one.text_hash", "one.d")))
+    # a row of docs that repeats comes as often as it does, next to itself
+    both = docs.join(ends, ["text_hash", "d"]).select("u", "v", "cls", "text")
+    return both.repartition("u", "v").sortWithinPartitions("u", "v", "cls").mapInArrow(_compare, "u long, v long")
+
+
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in three texts or more of a sample, sorted, and in how many."""
+    share = int(min(1.0, SAMPLE / max(1, docs.count())) * (1 << 20))
+    some = docs.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 20)) < share).select("text").distinct()
+    got = some.mapInArrow(_sets, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()
+    h, n = (got.column(c).to_numpy().astype(np.int64) for c in ("h", "count"))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], n[order]
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, component, text_hash) for every row of docs (doc_id, text)."""
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "text", F.xxhash64("text").alias("text_hash"))
+    marked = cut(docs.select("doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), shingle_class("text").alias("cls")))
+    ids = marked.select("cls", "text_hash", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"))
+    rows = docs.select("text").mapInArrow(_prefixes(*_frequent(docs)), "sh long, at long, cls long")
+    names = ["sh", "at", "cls"]
+    # rows of one bucket are sorted by size, and by position only within one size
+    shared = rows.repartition("sh").sortWithinPartitions("sh", F.shiftright("at", 32), "cls").mapInArrow(_whole_buckets(_shared, names), "sh long, at long, cls long")
+    shared = cut(shared)  # whose partitions keep whole buckets in order
+    links = cut(_verified(shared.mapInArrow(_whole_buckets(_pairs(1), names), "u long, v long"), ids, d))
+    first, small = _small(cut(components(links)).withColumnRenamed("id", "cls"))
+    rest = shared.join(first, "cls", "left").select("sh", "at", "cls", F.coalesce("component", "cls").alias("comp"))
+    if not small:
+        rest = rest.repartition("sh").sortWithinPartitions("sh", F.shiftright("at", 32), "cls")
+    rest = rest.mapInArrow(_whole_buckets(_pairs(None), [*names, "comp"]), "u long, v long")
+    comp = components(links.unionByName(_verified(rest, ids, d)))
+    return marked.join(comp, marked.cls == comp.id, "left").select("doc_id", F.coalesce("component", "cls").alias("component"), "text_hash")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs' columns of one document of each group: the one of the smallest doc_id, null last."""
+    return one_of_each(docs, near_duplicates(docs.select("doc_id", "text")))

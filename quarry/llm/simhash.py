@@ -256,7 +256,11 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
 
 def keep_one(docs: DataFrame, *, radius: int = SIMILAR_RADIUS) -> DataFrame:
     """docs' columns of one document of each group: the one of the smallest doc_id, null last."""
-    groups = near_duplicates(docs.select("doc_id", "text"), radius=radius)
+    return one_of_each(docs, near_duplicates(docs.select("doc_id", "text"), radius=radius))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs' columns of the document of the smallest doc_id, null last, of each component of groups (doc_id, component, text_hash)."""
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"))
     first = first.select(F.coalesce("one.doc_id", F.lit(LAST)).alias("_d"), F.col("one.text_hash").alias("_h"))
     d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("_d"), F.xxhash64(docs["text"]).alias("_h"))

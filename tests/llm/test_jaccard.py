@@ -1,0 +1,75 @@
+"""The pipeline's near-duplicate stage against brute-force Jaccard similarity."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter
+
+import corpus_pipeline
+from quarry.llm import jaccard
+from tests.llm import brute
+
+
+def shingles(text):
+    w = brute.words((text or "").translate(brute.LOWER))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)])
+
+
+def similar(x, y):
+    return 9 * len(x & y) >= 4 * (len(x) + len(y))
+
+
+def documents():
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    common = r.choices(vocabulary, k=30)
+    rows = []
+    for _ in range(60):
+        base = r.choices(vocabulary, k=r.choice([3, 6, 30, 60, 120])) + r.choice([[], common])
+        rows.append(base)
+        for _ in range(r.choice([0, 1, 3])):
+            text = list(base)
+            for _ in range(r.choice([0, 1, 2, 4, 8])):
+                at = r.randrange(len(text))
+                text[at : at + r.choice([0, 1])] = r.choices(vocabulary, k=r.choice([0, 1, 2]))
+            rows.append(text)
+    group = r.choices(vocabulary, k=80)
+    rows += [[*group[:k], "x", *group[k:]] for k in range(0, 80, 2)]
+    texts = [" ".join(w) for w in rows] + ["One two THREE four", "one two three four", "", None, " \n", "Aa  bb cc dd ee\tff", "aA bb cc dd ee ff"]
+    return [(k, t) for k, t in enumerate(texts)] + [(None, texts[0]), (3, texts[3]), (3, "another text with this number")]
+
+
+def test_near_dedup_stage_is_brute_force_jaccard(spark):
+    rows = documents()
+    sets = [shingles(t) for _, t in rows]
+    label = brute.groups(sets, similar)
+    sizes = Counter(label)
+    assert len(sizes) < len(rows) - 60 and max(sizes.values()) >= 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    low = {}
+    for (d, _), k in zip(rows, label):
+        low[k] = min(low.get(k, (True, 0)), (d is None, d or 0))
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert Counter((r[0] is None, r[0] or 0) for r in kept.collect()) == Counter(low.values())
+    assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_links_are_verified_and_not_lost(spark):
+    # one word in five hundred shingles' worth of text against many edits: seven bits of three-word fingerprints err both ways
+    r = random.Random(3)
+    words = [f"v{i}" for i in range(300)]
+    pairs = []
+    for edits in range(1, 25):
+        a = r.choices(words, k=200)
+        b = list(a)
+        for at in r.sample(range(200), edits):
+            b[at] = "new"
+        pairs.append((a, b))
+    rows = [(2 * k + j, " ".join(w)) for k, p in enumerate(pairs) for j, w in enumerate(p)]
+    got = {d: c for d, c, _ in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [similar(shingles(rows[2 * k][1]), shingles(rows[2 * k + 1][1])) for k in range(len(pairs))]
+    assert [got[2 * k] == got[2 * k + 1] for k in range(len(pairs))] == linked
+    assert 0 < sum(linked) < len(linked)
+    seven = [(brute.fingerprint(rows[2 * k][1]) ^ brute.fingerprint(rows[2 * k + 1][1])).bit_count() <= 7 for k in range(len(pairs))]
+    assert seven != linked

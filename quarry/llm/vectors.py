@@ -2,9 +2,9 @@
 
 Equal vectors form one class. In each pass the classes are ordered lexicographically by concatenated
 random hyperplane hashes and each is compared, in double precision, with its neighbours in a bounded
-window of that order; the pairs that reach the threshold are united across all passes. What a bounded
-window must miss, the links inside a large group, is then made whole: within each component all pairs
-are counted in blocks, so that n_links is exact there and no pair is ever emitted.
+window of that order; the pairs that reach the threshold are united across all passes. What bounded
+windows miss is then made whole: all pairs of classes are compared in blocks, which is quadratic, so
+that links and components are exact at any density; of the links only spanning forests are emitted.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing; vectors of another dimension are compared only with their like; rows that repeat are vectors
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import components, cut, forest
 
 THRESHOLD, PASSES, WINDOW, BITS, BLOCK = 0.95, 24, 16, 48, 1024
+SPAN, STRIP = 8192, 256  # vectors of a block of the exact comparison, and of its products
 LAST = 2**63 - 1
 _PAIRS = "u long, v long"
 
@@ -102,24 +103,33 @@ def _neighbours(window: int, threshold: float):
 
 
 def _count(threshold: float):
-    """Streams rows sorted by (comp, i, j); yields for each class the rows it is linked with."""
+    """Streams rows sorted by (i, j); yields for each class the rows it is linked with, and spanning edges (rep, to)."""
 
     def one(table: pa.Table):
         b, rep, n = (table.column(c).to_numpy() for c in ("b", "rep", "n"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         total = np.zeros(len(rep), np.int64)
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for rows, x in _unit(table.column("v").combine_chunks()):
             left, right = rows[b[rows] == i], rows[b[rows] == j]
             y, z = x[b[rows] == i], x[b[rows] == j]
-            for k in range(0, len(left), BLOCK):
-                near = y[k : k + BLOCK] @ z.T >= threshold
-                total[left[k : k + BLOCK]] += near @ n[right]
+            for k in range(0, len(left), STRIP):
+                near = y[k : k + STRIP] @ z.T >= threshold
+                p, q = np.nonzero(near)
+                if not len(p):
+                    continue
+                here = left[k : k + STRIP]
+                np.add.at(total, here[p], n[right[q]])
                 if i != j:
-                    total[right] += n[left[k : k + BLOCK]] @ near
+                    np.add.at(total, right[q], n[here[p]])
+                x1, y1 = forest(rep[here[p]], rep[right[q]])
+                us.append(x1)
+                vs.append(y1)
             if i == j:  # a class is always its own neighbour, though rounding may put it below
                 own = np.einsum("ij,ij->i", y, y) >= threshold
                 total[left] -= np.where(own, n[left], 0)
-        return rep, total
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ((rep, u), (total, 0 * u), (rep, v))], names=["rep", "linked", "to"])
 
     def run(batches):
         held = None
@@ -127,22 +137,16 @@ def _count(threshold: float):
             table = pa.Table.from_batches([batch])
             if held is not None:
                 table = pa.concat_tables([held, table])
-            keys = [table.column(c).to_numpy() for c in ("comp", "i", "j")]
+            keys = [table.column(c).to_numpy() for c in ("i", "j")]
             if not len(keys[0]):
                 continue
             new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             bounds = [0, *new.tolist()]
-            reps, totals = [], []
             for s, e in zip(bounds[:-1], bounds[1:]):
-                r, t = one(table.slice(s, e - s))
-                reps.append(r)
-                totals.append(t)
+                yield one(table.slice(s, e - s))
             held = table.slice(bounds[-1])
-            if reps:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(reps)), pa.array(np.concatenate(totals))], names=["rep", "linked"])
         if held is not None and held.num_rows:
-            r, t = one(held)
-            yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(t)], names=["rep", "linked"])
+            yield one(held)
 
     return run
 
@@ -161,12 +165,12 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, passes:
     keyed = classes.select("rep", "v").mapInArrow(_project(passes, bits, seed), f"dim long, pass long, key long, rep long, v {kind}")
     order = ["dim", "pass", "key", "rep"]
     edges = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(window, threshold), _PAIRS)
-    comp = cut(components(edges))
-    blocks = comp.groupBy("component").count().select(F.col("component").alias("comp"), F.ceil(F.col("count") / BLOCK).alias("nb"))
-    m = classes.join(comp, classes.rep == comp.id).select("rep", "v", "n", F.col("component").alias("comp")).join(blocks, "comp")
-    m = m.withColumn("b", F.pmod(F.xxhash64("rep"), F.col("nb"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    m = m.select("comp", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "n", "v")
-    linked = m.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_count(threshold), "rep long, linked long").groupBy("rep").agg(F.sum("linked").alias("linked"))
+    nb = max(1, -(-classes.count() // SPAN))
+    m = classes.withColumn("b", F.pmod(F.xxhash64("rep"), F.lit(nb).cast("long"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))))
+    m = m.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "n", "v")
+    found = cut(m.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(_count(threshold), "rep long, linked long, to long"))
+    linked = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
+    comp = cut(components(edges.unionByName(found.select(F.col("rep").alias("u"), F.col("to").alias("v")))))
     facts = classes.join(linked, "rep", "left").join(comp, classes.rep == comp.id, "left").withColumn("c", F.coalesce("component", "rep"))
     names = facts.groupBy("c").agg(F.min("first").alias("low"))
     facts = facts.join(names, "c").select(F.col("v").alias("_v"), (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.when(F.col("low") < LAST, F.col("low")).alias("component_id"))

@@ -1,21 +1,34 @@
 """Operator 1, main text of HTML pages by two-pass block rules.
 
-The page is cut into blocks at block-level tags. Pass one decides the clear blocks: those in
-boilerplate containers (by tag, role, class or id) and those dense in links are bad, those in an
-article or main container with few links and, elsewhere, long ones dense in stop words are good. Pass
-two lets the ambiguous short ones inherit the label of the nearest decided neighbours (a tie is good
-if the two agree or the page's content lies on either side). If a page names its article, what lies
-outside it is never text.
-
-Defined cases: a null or empty page has empty text; an unclosed tag, quote or comment ends with the
-page; pages that repeat give the same text; an empty table gives none; other columns are not read.
+The page is cut into blocks at block-level tags. What HTML itself names as something else (nav, footer,
+aside, menu, dialog, a header outside the article, hidden elements) and containers whose class, id or
+role names boilerplate are set aside; a container that holds most of the page's stop words never is by its name,
+unless an article or main element lies outside it. All other blocks are classified twice:
+
+1. Length, stop-word density and link density decide the clear ones: long blocks dense in stop words
+   and poor in links are good, blocks dense in links and long runs without stop words or sentences bad.
+2. Ambiguous blocks, most of them short, inherit the label of the nearest decided neighbours: those of
+   the same parent first, then those of the smallest container that holds a decided one (a tie is good;
+   a heading asks what follows it first). An article or main element is one feature of this pass: its
+   blocks are good where nothing inside it is decided, its long runs without stop words (tables, code)
+   are left to their neighbours, and ambiguous blocks outside it aren't taken
+   in by what it holds. It never drops a block that the first pass found good.
+
+Stop words are of four languages; on a page with hardly any of them the stop-word tests say nothing.
+
+Defined cases: a null or empty page has empty text; an unclosed tag, quote, comment or raw-text element
+(script, style, textarea, title) ends with the page, an unclosed form control with the next block, and
+other unclosed elements that are dropped are taken as empty; elements nested deeper than 512 are taken
+as siblings; a page of many megabytes is read whole, in time in proportion to it (an attribute value
+beyond 65,536 characters ends at the first `>`); pages that repeat give the same text; an empty table
+gives none; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,15 +53,22 @@ STOP_WORDS = frozenset(
 #: Words in a class, id or role that name what is not the article.
 BOILERPLATE = frozenset(
     """
-    ad ads adv advert adverts advertisement advertising alert aside banner bar breadcrumb breadcrumbs
-    byline-share comment comments commentlist complementary consent contentinfo cookie cookies copyright
-    dialog disclaimer discussion disqus dropdown footer form gdpr legal login menu message modal nav navbar
-    navigation newsletter notice notices overlay pager pagination popup privacy promo promoted promotion
-    rail recommended related reply replies respond search share sharing shortcuts sidebar sidenav signup
-    skip social sponsor sponsored subscribe subscription tagcloud tags toc toolbar topbar warning widget
+    ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments
+    commentlist complementary consent contentinfo cookie cookies copyright disqus footer gdpr login menu
+    modal nav navbar navigation newsletter overlay pagination popup promo promoted promotion sidebar sidenav
+    signup skip sponsor sponsored subscribe subscription tagcloud toolbar topbar
+    """.split()
+)
+#: Words that name it on a container outside the article only, as articles use them too.
+UNCLEAR = frozenset(
+    """
+    alert alertdialog aside bar byline dialog disclaimer discussion dropdown form header legal message notice
+    notices pager privacy rail recommended related replies reply respond search share sharing shortcuts social
+    tags toc warning widget
     """.split()
 )
-CONTENT = frozenset("article articlebody main content entry post story".split())
+#: Parts of a name that say how an element looks or behaves, so that it doesn't name what it is.
+STATES = frozenset("has no not with without is closed disabled enabled off on open allowed".split())
 BLOCKS = frozenset(
     """
     address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure
@@ -57,71 +77,114 @@ BLOCKS = frozenset(
     """.split()
 )
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 dt dd li legend caption figcaption summary".split())
-DROPPED = frozenset("script style noscript template svg canvas iframe object math select textarea button title head datalist audio video map".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BAD_TAGS = frozenset("nav footer aside form menu dialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+RAW = frozenset("script style textarea title xmp noembed noframes".split())
+DROPPED = frozenset("noscript template svg canvas iframe object math head datalist audio video map".split())
+CONTROLS = frozenset("button select".split())
+BAD_TAGS = frozenset("nav footer aside menu dialog".split())
+WHOLE = frozenset("html body main".split())  # what no class word condemns
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+LONG, DENSE, SPARSE, MANY_LINKS, SOME_LINKS = 12, 0.12, 0.04, 0.5, 0.33
+KNOWN, DEPTH = 0.03, 512
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,65536}+"|'[^']{0,65536}+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-_ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'=<>`]++))?""")
 _WORD = re.compile(r"[^\W\d_]+")
+_PARTS = re.compile(r"[^a-z0-9]+")
+_SENTENCE = re.compile(r"[.!?…。！？](?:\s|$)")
+_NEXT_LINK = re.compile(r"<a[\s>]", re.I)
+
+
+@dataclass
+class Container:
+    tag: str
+    parent: int
+    aside: bool  # named as something other than the article
+    inside: bool  # in an article or main element
+    content: bool  # is such an element
+    named: bool = False  # a class, id or role names boilerplate
+    first: int = 0  # its blocks are first <= i < end
+    end: int = 0
+    stops: int = 0
+    mains: int = 0  # article and main elements in it, itself included
 
 
 @dataclass
 class Block:
     text: str
     links: int  # characters inside links
-    bad: bool
-    inside: bool  # in an article or main container
-
-
-def _marks(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
-    """(names boilerplate, names the content) of a start tag."""
-    bad = tag in BAD_TAGS or (tag == "header" and not inside)
-    good = tag in ("article", "main")
-    if attrs and not attrs.isspace():
-        for m in _ATTR.finditer(attrs):
-            name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-                bad = True
-            elif name in ("class", "id", "role"):
-                names = set(re.split(r"[^a-z0-9]+", value))
-                if names & BOILERPLATE:
-                    bad = True
-                elif tag in ("div", "section", "td") and names & CONTENT:
-                    good = True
-    return bad, good and not bad
-
-
-def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, with white space folded and references decoded."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # open containers: tag, bad, inside
+    at: int  # number of its container
+    aside: bool  # its own element is named as something other than the article
+    heading: bool
+    words: int = 0
+    stops: int = 0
+
+
+@dataclass
+class Page:
+    blocks: list[Block] = field(default_factory=list)
+    containers: list[Container] = field(default_factory=list)
+
+
+def attributes(source: str) -> dict[str, str]:
+    """Attributes of a start tag by lower-case name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(source):
+        value = m[2] or ""
+        out.setdefault(m[1].lower(), value[1:-1] if value[:1] in ("'", '"') else value)
+    return out
+
+
+def _names(attrs: dict[str, str], words: frozenset[str]) -> bool:
+    for a in ("class", "id", "role"):
+        for token in attrs.get(a, "").lower().split():
+            parts = set(_PARTS.split(token))
+            if parts & words and not parts & STATES:
+                return True
+    return False
+
+
+def _hidden(attrs: dict[str, str]) -> bool:
+    style = attrs.get("style", "").lower().replace(" ", "")
+    return "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+
+
+def parse(page: str) -> Page:
+    """The page's blocks in order, with white space folded and references decoded, and their containers."""
+    out = Page(containers=[Container("", -1, False, False, False)])
+    stack = [0]
     parts: list[str] = []
     link_at = -1  # number of parts when the open link began
+    across = False  # the open link has an end of its own
     links = 0
-    leaf_bad = False
+    leaf_aside = heading = False
+    control = ""  # the form control that is open
+    next_close = next_open = -1  # of links
 
     def flush() -> None:
         nonlocal links, link_at
         if parts:
             if link_at >= 0:
                 links += sum(map(len, parts[link_at:]))
-                link_at = 0
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, links, stack[-1][1] or leaf_bad, stack[-1][2]))
+                b = Block(text, links, stack[-1], leaf_aside, heading)
+                words = _WORD.findall(text.lower())
+                b.words, b.stops = len(words), sum(w in STOP_WORDS for w in words)
+                out.blocks.append(b)
             parts.clear()
+        link_at = 0 if link_at >= 0 and across else -1
         links = 0
 
     at, n = 0, len(page)
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
-            parts.append(page[at:])
-            break
-        if lt > at:
+            lt = n
+        if lt > at and not control:
             parts.append(page[at:lt])
+        if lt == n:
+            break
         if page.startswith("<!--", lt):
             end = page.find("-->", lt + 4)
             at = n if end < 0 else end + 3
@@ -130,22 +193,32 @@ def blocks(page: str) -> list[Block]:
             end = page.find(">", lt)
             at = n if end < 0 else end + 1
             continue
-        m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
-        if not m:
-            parts.append("<")
+        if not page[lt + 1 : lt + 3].lstrip("/")[:1].isalpha():
+            if not control:
+                parts.append("<")
             at = lt + 1
             continue
+        m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
+        if not m:  # no tag ends any more
+            break
         at = m.end()
-        closing, tag, attrs = m[1], m[2].lower(), m[3]
-        if tag in DROPPED and not closing:
-            if attrs.endswith("/") and tag in ("svg", "script"):
-                continue
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            if end:
-                at = end.end()
-            elif tag != "head":
-                at = n
-            parts.append(" ")
+        closing, tag, source = m[1], m[2].lower(), m[3]
+        if tag in RAW or tag in DROPPED:
+            if not closing:
+                if source.endswith("/") and tag in ("svg", "math"):
+                    continue
+                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in RAW:
+                    break
+                if not control:
+                    parts.append(" ")
+            continue
+        if tag in CONTROLS:
+            control = "" if closing else tag
+            continue
+        if tag == "option" and control == "select":
             continue
         if tag == "br":
             parts.append(" ")
@@ -153,76 +226,144 @@ def blocks(page: str) -> list[Block]:
             if link_at >= 0:
                 links += sum(map(len, parts[link_at:]))
             link_at = -1 if closing else len(parts)
+            if not closing:
+                if next_close < at:
+                    found = page.find("</a", at)
+                    next_close = n + 1 if found < 0 else found
+                if next_open < at:
+                    nxt = _NEXT_LINK.search(page, at)
+                    next_open = nxt.start() if nxt else n
+                across = next_close < next_open or (next_close <= n and next_open == n)
         elif tag in BLOCKS:
             flush()
-            leaf_bad = False
+            control, leaf_aside, heading = "", False, False
             if closing:
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
+                    if out.containers[stack[k]].tag == tag:
+                        for c in stack[k:]:
+                            out.containers[c].end = len(out.blocks)
                         del stack[k:]
                         break
-            elif tag in LEAVES:
-                leaf_bad = _marks(tag, attrs, stack[-1][2])[0]
-            elif tag not in VOID:
-                bad, good = _marks(tag, attrs, stack[-1][2])
-                stack.append((tag, stack[-1][1] or bad, stack[-1][2] or (good and not stack[-1][1])))
+                continue
+            attrs = attributes(source) if source and not source.isspace() else {}
+            up = out.containers[stack[-1]]
+            if tag in LEAVES:
+                heading = tag in HEADINGS
+                leaf_aside = bool(attrs) and (_hidden(attrs) or _names(attrs, BOILERPLATE))
+            elif tag != "hr" and len(stack) < DEPTH:
+                aside = tag in BAD_TAGS or (tag == "header" and not up.inside)
+                named = False
+                content = tag in ("article", "main") or attrs.get("role", "").lower() in ("article", "main")
+                if attrs and tag not in ("html", "body"):
+                    aside = aside or _hidden(attrs)
+                    if tag not in WHOLE and (tag != "article" or up.inside):
+                        named = _names(attrs, BOILERPLATE) or (not up.inside and not content and _names(attrs, UNCLEAR))
+                out.containers.append(Container(tag, stack[-1], aside, up.inside or content, content, named, len(out.blocks)))
+                stack.append(len(out.containers) - 1)
     flush()
+    for c in stack:
+        out.containers[c].end = len(out.blocks)
     return out
 
 
-def _first_pass(b: Block) -> bool | None:
-    """True good, False bad, None ambiguous."""
-    if b.bad:
-        return False
-    words = _WORD.findall(b.text.lower())
-    density = b.links / max(1, len(b.text))
-    if density > 0.5:
+def set_aside(p: Page) -> list[bool]:
+    """Which blocks lie in what is named as something other than the article."""
+    cs = p.containers
+    aside = [False] * len(cs)
+    for k, c in enumerate(cs):
+        aside[k] = c.aside or (c.parent >= 0 and aside[c.parent])
+    for b in p.blocks:
+        if not aside[b.at]:
+            cs[b.at].stops += b.stops
+    for k in range(len(cs) - 1, -1, -1):
+        c = cs[k]
+        c.mains += c.content and not aside[k]
+        if k:
+            cs[c.parent].stops += c.stops
+            cs[c.parent].mains += c.mains
+    for k, c in enumerate(cs):
+        most = 2 * c.stops > cs[0].stops and c.mains == cs[0].mains
+        aside[k] = aside[k] or (c.named and not most) or (c.parent >= 0 and aside[c.parent])
+    return [aside[b.at] or b.aside for b in p.blocks]
+
+
+def first_pass(b: Block, known: bool, inside: bool) -> bool | None:
+    """True good, False bad, None ambiguous; known: the page's language has stop words here."""
+    density = b.links / len(b.text)
+    if density > MANY_LINKS:
         return False
-    if b.inside:
-        return True if density <= 0.33 else None
-    if not words:
-        return None
-    stops = sum(w in STOP_WORDS for w in words) / len(words)
-    if len(words) >= 12:
-        if density > 0.33 or stops < 0.1:
-            return False
-        if stops >= 0.2 or len(words) >= 40:
+    stops = b.stops / max(1, b.words)
+    if b.words >= LONG:
+        if density <= SOME_LINKS and (stops >= DENSE or not known) and (stops >= DENSE or _SENTENCE.search(b.text)):
             return True
-    if "©" in b.text or density > 0.33:
+        if density > SOME_LINKS or (known and not inside and stops < SPARSE and not _SENTENCE.search(b.text)):
+            return False
+        return None
+    if b.words and density > SOME_LINKS:
         return False
-    return None
+    return False if "©" in b.text else None
+
+
+def decide(p: Page) -> list[tuple[bool, int]]:
+    """(kept, which pass decided; 0 if set aside) of each block."""
+    blocks, cs = p.blocks, p.containers
+    gone = set_aside(p)
+    n = len(blocks)
+    words = sum(b.words for b, g in zip(blocks, gone) if not g)
+    known = sum(b.stops for b, g in zip(blocks, gone) if not g) >= KNOWN * words
+    labels = [None if g else first_pass(b, known, cs[b.at].inside) for b, g in zip(blocks, gone)]
+    content = any(cs[b.at].inside and not g and label is not False for b, g, label in zip(blocks, gone, labels))
+
+    def sides(same: bool) -> tuple[list[int], list[int]]:
+        """The nearest decided block before and after each one, of the same parent or of any."""
+        got = []
+        for order, none in ((range(n), -1), (range(n - 1, -1, -1), n)):
+            side, last = [none] * n, {}
+            for i in order:
+                key = blocks[i].at if same else 0
+                side[i] = last.get(key, none)
+                if labels[i] is not None:
+                    last[key] = i
+            got.append(side)
+        return got[0], got[1]
+
+    siblings, any_ = sides(True), sides(False)
+
+    def inherited(i: int) -> bool:
+        def of(before: int, after: int) -> bool:
+            if after < n and blocks[i].heading:
+                return labels[after]
+            if before < 0 or after >= n:
+                return labels[after if before < 0 else before]
+            if i - before == after - i:
+                return labels[before] or labels[after]
+            return labels[before if i - before < after - i else after]
+
+        if siblings[0][i] >= 0 or siblings[1][i] < n:
+            return of(siblings[0][i], siblings[1][i])
+        before, after = any_[0][i], any_[1][i]
+        k = blocks[i].at
+        while k > 0:
+            c = cs[k]
+            lo, hi = before if before >= c.first else -1, after if after < c.end else n
+            if lo >= 0 or hi < n:
+                return of(lo, hi)
+            if c.content:
+                return True
+            k = c.parent
+        if content:
+            return False
+        return of(before, after) if before >= 0 or after < n else True
+
+    return [(False, 0) if gone[i] else (labels[i], 1) if labels[i] is not None else (inherited(i), 2) for i in range(n)]
 
 
 def extract(page: str | None) -> str:
     """The main text of a page: its good blocks, one to a line."""
     if not page:
         return ""
-    all_ = blocks(page)
-    if any(b.inside and not b.bad for b in all_):
-        all_ = [b for b in all_ if b.inside]
-    labels = [_first_pass(b) for b in all_]
-    n = len(labels)
-    near: list[list[tuple[int, bool] | None]] = []
-    for order in (range(n), range(n - 1, -1, -1)):
-        side: list[tuple[int, bool] | None] = [None] * n
-        last = None
-        for i in order:
-            side[i] = last
-            if labels[i] is not None:
-                last = (i, labels[i])
-        near.append(side)
-    keep = []
-    for i, (b, label) in enumerate(zip(all_, labels)):
-        if label is None:
-            before, after = near[0][i], near[1][i]
-            if before and after and before[1] != after[1]:
-                gap = (i - before[0]) - (after[0] - i)
-                label = True if gap == 0 else before[1] if gap < 0 else after[1]
-            else:
-                label = bool((before or after or (0, False))[1])
-        if label:
-            keep.append(b.text)
-    return "\n".join(keep)
+    p = parse(page)
+    return "\n".join(b.text for b, (kept, _) in zip(p.blocks, decide(p)) if kept)
 
 
 @F.arrow_udf(T.StringType())

@@ -24,7 +24,7 @@ from quarry.llm.portable import hash31, hash31_sql
 from quarry.llm.shared import cut
 
 WEIGHTS, EPOCHS, BLOCK, SHARD_WORDS, MOST_SHARDS = (5, 2, 1), 3, 32, 250_000, 2**18
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, SPACES = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]*"
 
 
 def word_count(text: Column) -> Column:
@@ -113,14 +113,15 @@ def _sized(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: docs' columns, a row for each pass over a document and one for each part of it.
 
-    A part's text is its words joined by one space; n_chars, where there is one, follows the text.
+    A part's text is the text from its first word to its last; n_chars, where there is one, follows the text.
     """
     slim = cut(_sized(docs))
     d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("id"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"))
     d = allot(d, slim, **how).where("taken > 0")
     whole = F.lit(None).cast("string")
-    listed = F.regexp_extract_all(F.col("row")["text"], F.lit(WORD), F.lit(0))
-    part = lambda a, b: F.when(F.col(b) - F.col(a) == F.col("size"), F.array(F.col("row")["text"])).when(F.col(b) > F.col(a), F.array(F.array_join(F.slice(listed, (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int")), " "))).otherwise(F.array(whole).cast("array<string>"))
+    listed = F.regexp_extract_all(F.col("row")["text"], F.lit(WORD + SPACES), F.lit(0))
+    slice_ = lambda a, b: F.rtrim(F.array_join(F.slice(listed, (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int")), ""), F.lit(" \t\n\v\f\r"))
+    part = lambda a, b: F.when(F.col(b) - F.col(a) == F.col("size"), F.array(F.col("row")["text"])).when(F.col(b) > F.col(a), F.array(slice_(a, b))).otherwise(F.array(whole).cast("array<string>"))
     texts = F.concat(F.array_repeat(F.col("row")["text"], F.col("full").cast("int")), part("a1", "b1"), part("a2", "b2"))
     d = d.select("row", F.explode(F.filter(texts, lambda t: t.isNotNull())).alias("_text"))
     new = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}

@@ -1,14 +1,29 @@
 """Operator 9, SimHash near-dedup by the generalised pigeonhole principle.
 
-Each text gets a 64-bit SimHash of its word shingles. Equal fingerprints form one class. The 64 bits
-are grouped into partitions of correlated bits; a dynamic programme gives partition i a threshold
-t_i >= -1 with sum(t_i + 1) = radius + 1, so that two fingerprints within the radius are within t_i
-of each other in some partition. Candidates share a key there (the partition's value with t_i bits
-masked) and are verified on all 64 bits, so no link is lost whatever thresholds are chosen.
+Each text gets a 64-bit SimHash. The 64 bits are grouped into partitions of correlated bits; a dynamic
+programme gives partition i a threshold t_i >= -1 with sum(t_i + 1) = radius + 1, so that two
+fingerprints within the radius are within t_i of each other in some partition. Candidates share a
+bucket there (the partition's value with t_i bits masked) and are verified on all 64 bits, so no link is
+lost whatever thresholds are chosen. Partitions and thresholds are those of the least cost, which is
+made of the rows that the masks deal out and of the candidates that all fingerprints lead one to
+expect; it has no switch by size, so one more row never makes the work jump.
+
+near_duplicates() links fingerprints of three-word shingles within the radius. similar() takes the same
+search as its candidates, over fingerprints of the distinct words, which move less when a text is
+edited, and links texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8,
+counted on the texts. Its first round verifies the first and the last neighbour of each text in a bucket,
+its second all neighbours that the first left in different components, so that a large group of near
+copies isn't compared pair by pair. Of the pairs of that similarity, those whose fingerprints differ in
+more than WORD_RADIUS bits are missed unless others connect them (measured recall: README).
+
+A bucket of more than HOT rows isn't compared where it lands: its rows are dealt out again over pairs
+of blocks of at most about HOT rows each.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; equal texts share
 a class; rows that repeat appear as often as they came; a null doc_id belongs to its text's
-component and is null's own component only if no row there has an id; other columns are not read.
+component and is null's own component only if no row there has an id; a text of one to four words is
+one shingle in similar(); very long texts and words are read whole; ties of rows in one_of_each() are
+broken by all their columns; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,22 +42,37 @@ from quarry.llm import textvec as V
 from quarry.llm.shared import components, cut, forest
 
 RADIUS = 3
-#: Differing bits that a five-word Jaccard similarity of 0.8 comes to: an edited word breaks five of the
-#: five-word shingles but three of the three-word ones, so their cosine is about 0.93, an angle of 0.117 pi.
-SIMILAR_RADIUS = 7
+#: For similar(): differing bits of fingerprints of distinct words, and words of a shingle. 97 in 100 pairs of a
+#: similarity of 0.8 or more lie within 7 bits (93 within 6).
+WORD_RADIUS, SHINGLE = 7, 5
+HOT = 4096  # rows of a bucket that are compared at once
+ROW_COST = 64  # a row dealt out costs as much as so many comparisons
+PARTITIONS = (2, 3, 4)
+SMALL = 1 << 18  # rows that may be broadcast
 LAST = 2**63 - 1
 BITS_AT_ONCE = 1 << 15  # hashes whose bits are laid out at a time
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def majority(text: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """The bits set in over half of the hashes h of each of n texts, whose numbers `text` are sorted."""
+    count = np.bincount(text, minlength=n)
+    ones = np.zeros((n, 64), np.int64)
+    for k in range(0, len(h), BITS_AT_ONCE):
+        t = text[k : k + BITS_AT_ONCE]
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        bits = np.unpackbits(h[k : k + BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones[t[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > count[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
 def fingerprints_of(texts: pa.Array, shingle: int = 3) -> pa.Array:
     """SimHash of each text's shingles as signed 64-bit integers (the bits of the unsigned value)."""
     parts: list[np.ndarray] = []
     digest = xxhash.xxh64_intdigest
     for a, b, raw, offsets in V.chunks(texts):
         w = V.words(_LOWER[raw], offsets)
-        out = np.zeros(b - a, np.uint64)
         body, text_at, stop = V.joined(w)
         flat = body.tobytes()
         lengths = w.end - w.start
@@ -53,18 +83,8 @@ def fingerprints_of(texts: pa.Array, shingle: int = 3) -> pa.Array:
         lo = np.concatenate([begin[at], text_at[short]]).tolist()
         hi = np.concatenate([stop[at + shingle - 1], text_at[short + 1]]).tolist()
         h = np.array([digest(flat[s:e], 42) for s, e in zip(lo, hi)], np.uint64)
-        if len(h):
-            order = np.argsort(text, kind="stable")
-            text, h = text[order], h[order]
-            n = np.bincount(text, minlength=b - a)
-            ones = np.zeros((b - a, 64), np.int64)
-            for k in range(0, len(h), BITS_AT_ONCE):
-                t = text[k : k + BITS_AT_ONCE]
-                first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-                bits = np.unpackbits(h[k : k + BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                ones[t[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-            out = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-        parts.append(out)
+        order = np.argsort(text, kind="stable")
+        parts.append(majority(text[order], h[order], b - a))
     V.release()
     return pa.array((np.concatenate(parts) if parts else np.zeros(0, np.uint64)).view(np.int64))
 
@@ -123,117 +143,197 @@ def allocate(cost: list[list[float]], total: int) -> list[int]:
     return best[total][1]
 
 
-def _keys(masks: list[int]):
-    m = np.array(masks, np.uint64)
+def chosen(both: np.ndarray, n: int, parts_of: dict[int, list[list[int]]], equal: dict[tuple[int, int], float], radius: int) -> tuple[list[int], float]:
+    """(masks, cost) of the least cost: `equal` has, for m partitions and each one's number, the ordered pairs that agree there.
 
-    def run(batches):
-        for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            node = batch.column(1).to_numpy(zero_copy_only=False)
-            step = max(1, (1 << 20) // len(m))
-            for k in range(0, len(fp), step):
-                f, d = fp[k : k + step], node[k : k + step]
-                key = (f.view(np.uint64)[:, None] & m[None, :]).view(np.int64)
-                which = np.broadcast_to(np.arange(len(m), dtype=np.int32), key.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(which.ravel()), pa.array(key.ravel()), pa.array(np.repeat(f, len(m))), pa.array(np.repeat(d, len(m)))], names=["mask", "key", "fp", "node"])
+    Pairs that agree in all but t bits of a partition are those that agree in it times the sum, over all
+    choices of t bits, of 1 / (how often two fingerprints agree in each).
+    """
+    p = np.diag(both) / max(1, n)
+    agree = p * p + (1 - p) * (1 - p)
+    best: tuple[list[int], float] | None = None
+    for m, parts in parts_of.items():
+        cost = []
+        for k, part in enumerate(parts):
+            choices = [1.0] + [0.0] * radius  # elementary symmetric sums
+            for b in part:
+                for t in range(radius, 0, -1):
+                    choices[t] += choices[t - 1] / agree[b]
+            cost.append([0.0] + [equal.get((m, k), 0.0) * choices[t] / 2 + ROW_COST * float(max(1, n)) * comb(len(part), t) for t in range(radius + 1)])
+        ts = allocate(cost, radius + 1)
+        total = sum(c[t + 1] for c, t in zip(cost, ts))
+        if best is None or total < best[1]:
+            best = [x for part, t in zip(parts, ts) for x in masks_of(part, t)], total
+    return best
 
-    return run
 
+def plan(classes: DataFrame, radius: int = RADIUS) -> list[int]:
+    """The masks to probe with, from all fingerprints `fp`: their bits' correlations and how many agree in each partition."""
+    got = classes.select("fp").mapInArrow(_moments, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
+    both = np.zeros((64, 64))
+    for r in got:
+        both[r["i"], r["j"]] = r["n"]
+    n = classes.count()
+    parts_of = {m: group_bits(both, n, m) for m in PARTITIONS}
+    full = [F.struct(F.lit(m).alias("m"), F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << i for i in p)))).alias("v")) for m, parts in parts_of.items() for k, p in enumerate(parts)]
+    values = classes.select(F.explode(F.array(*full)).alias("x")).groupBy("x.m", "x.k", "x.v").count()
+    pairs = values.groupBy("m", "k").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("c")).collect()
+    return chosen(both, n, parts_of, {(r["m"], r["k"]): r["c"] for r in pairs}, radius)[0]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+_ROWS = "m long, fp long, node long, size long, comp long"
+
+
+def _near_pairs(bucket: np.ndarray, fp: np.ndarray, radius: int):
+    """(i, j) of the rows of one bucket within the radius, some at a time; rows are sorted by bucket."""
+    i, d = np.arange(len(fp)), 0
+    while True:
+        d += 1
+        i = i[i + d < len(fp)]
+        i = i[bucket[i + d] == bucket[i]]
+        if not len(i):
+            return
+        hit = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius]
+        if len(hit):
+            yield hit, hit + d
+
+
+def _links(bucket, fp, node, size, comp, radius):
+    """Edges that connect what is linked: stars around the smallest node of each component."""
+    us, vs, held = [], [], 0
+    for i, j in _near_pairs(bucket, fp, radius):
+        us.append(node[i])
+        vs.append(node[j])
+        held += len(i)
+        if held > 500_000:
+            x, y = forest(np.concatenate(us), np.concatenate(vs))
+            us, vs, held = [x], [y], len(x) // 2
+    if us:
+        yield forest(np.concatenate(us), np.concatenate(vs))
+
+
+def _ends(bucket, fp, node, size, comp, radius):
+    """Of each row the pairs with its first and its last neighbour whose sizes admit the similarity."""
+    n = len(fp)
+    first, last = np.full(n, n), np.full(n, -1)
+    for i, j in _near_pairs(bucket, fp, radius):
+        ok = 5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])
+        i, j = i[ok], j[ok]
+        np.minimum.at(first, j, i)
+        np.maximum.at(last, i, j)
+    a, b = np.flatnonzero(first < n), np.flatnonzero(last >= 0)
+    u, v = np.concatenate([first[a], b]), np.concatenate([a, last[b]])
+    yield np.minimum(node[u], node[v]), np.maximum(node[u], node[v])
+
+
+def _apart(bucket, fp, node, size, comp, radius):
+    """The pairs of different components whose sizes admit the similarity."""
+    us, vs, held = [], [], 0
+    for i, j in _near_pairs(bucket, fp, radius):
+        ok = (comp[i] != comp[j]) & (5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j]))
+        us.append(np.minimum(node[i[ok]], node[j[ok]]))
+        vs.append(np.maximum(node[i[ok]], node[j[ok]]))
+        held += len(us[-1])
+        if held > 500_000:
+            yield np.concatenate(us), np.concatenate(vs)
+            us, vs, held = [], [], 0
+    if held:
+        yield np.concatenate(us), np.concatenate(vs)
+
+
+def _buckets(work, radius: int, keys: int, hot: int | None):
+    """Streams rows sorted by bucket (m, fp & m and, with three keys, what block pair they are dealt to).
+
+    Yields work's pairs as rows with m = 0, node and comp; rows of buckets of more than `hot` rows come
+    out as they are. What is held at a time has 200,000 rows and, where hot is set, no more of a bucket.
+    """
 
-def _links_in(fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what is linked within one bucket: each reached fingerprint claims its unclaimed neighbours."""
-    left = np.arange(len(fp))
-    us, vs = [], []
-    while len(left) > 1:
-        todo, left = [left[0]], left[1:]
-        while todo and len(left):
-            x = todo.pop()
-            near = np.bitwise_count(fp[left] ^ fp[x]) <= radius
-            if near.any():
-                hit = left[near]
-                us.append(np.full(len(hit), node[x]))
-                vs.append(node[hit])
-                todo.extend(hit.tolist())
-                left = left[~near]
-    return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64),) * 2
-
-
-def _verify(radius: int, small: int = 64):
-    """Streams rows sorted by bucket; yields edges within the radius, a spanning forest in large buckets."""
-
-    def work(mask, key, fp, node):
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (mask[1:] != mask[:-1])
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(key)))
-        bucket = np.repeat(np.arange(len(first)), size)
-        tiny = size[bucket] <= small
-        us, vs = [], []
-        i = np.flatnonzero(tiny)
-        for d in range(1, small):
-            i = i[i + d < len(key)]
-            i = i[bucket[i + d] == bucket[i]]
-            if not len(i):
-                break
-            hit = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius]
-            us.append(node[hit])
-            vs.append(node[hit + d])
-        for b in np.flatnonzero(size > small):
-            s = slice(first[b], first[b] + size[b])
-            for to, got in zip((us, vs), _links_in(fp[s], node[s], radius)):
-                to.append(got)
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        x, y = forest(u, v) if len(u) else (u, v)
-        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["u", "v"])
+    def batch(cols):
+        types = (pa.int64(),) * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["m", "fp", "node", "size", "comp"])
 
     def run(batches):
-        held: list[tuple] = []
-        rows = 0
-        for batch in batches:
-            if not batch.num_rows:
+        held, rows = [], 0
+        open_hot = None  # the bucket whose rows pass as they are
+
+        def done(cols):
+            key = cols[:1] + [cols[1] & cols[0]] + cols[5:]
+            new = np.ones(len(cols[0]), bool)
+            new[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
+            bucket = np.cumsum(new) - 1
+            keep = np.ones(len(bucket), bool) if hot is None else np.bincount(bucket)[bucket] <= hot
+            if not keep.all():
+                yield batch([c[~keep] for c in cols[:5]])
+            m, fp, node, size, comp = (c[keep] for c in cols[:5])
+            for u, v in work(bucket[keep], fp.view(np.uint64), node, size, comp, radius):
+                zero = np.zeros(len(u), np.int64)
+                if len(u):
+                    yield batch((zero, zero, u, zero, v))
+
+        for b in batches:
+            if not b.num_rows:
                 continue
-            cols = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            held.append((cols[0], cols[1], cols[2].astype(np.int64).view(np.uint64), cols[3]))
-            rows += batch.num_rows
+            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5 if keys == 2 else 7)]
+            if open_hot is not None:
+                same = (cols[0] == open_hot[0]) & ((cols[1] & cols[0]) == open_hot[1])
+                if same.any():
+                    yield batch([c[same] for c in cols[:5]])
+                    cols = [c[~same] for c in cols]
+                if not len(cols[0]):
+                    continue
+                open_hot = None
+            held.append(cols)
+            rows += len(cols[0])
             if rows < 200_000:
                 continue
-            m, k, f, n = (np.concatenate(x) for x in zip(*held))
-            end = int(np.flatnonzero((k != k[-1]) | (m != m[-1]))[-1]) + 1 if (k[0], m[0]) != (k[-1], m[-1]) else 0
+            cols = [np.concatenate(x) for x in zip(*held)]
+            key = cols[:1] + [cols[1] & cols[0]] + cols[5:]
+            last = np.all([k == k[-1] for k in key], axis=0)
+            if hot is not None and last.sum() > hot:  # too many already: the rest of it passes as it comes
+                open_hot = (cols[0][-1], cols[1][-1] & cols[0][-1])
+                yield from done(cols)
+                held, rows = [], 0
+                continue
+            end = len(last) - int(last.sum())
             if end:
-                yield work(m[:end], k[:end], f[:end], n[:end])
-            held, rows = [(m[end:], k[end:], f[end:], n[end:])], 0
-        if held:
-            yield work(*(np.concatenate(x) for x in zip(*held)))
+                yield from done([c[:end] for c in cols])
+            held, rows = [[c[end:] for c in cols]], int(last.sum())
+        if rows:
+            yield from done([np.concatenate(x) for x in zip(*held)])
 
     return run
 
 
-def plan(classes: DataFrame, radius: int = RADIUS) -> list[int]:
-    """The masks to probe with: partitions from the correlations of all fingerprints, thresholds from
-    the candidate counts of all fingerprints (exact for thresholds 0 and 1, carried on beyond)."""
-    got = classes.select("fp").mapInArrow(_moments, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
-    both = np.zeros((64, 64))
-    for r in got:
-        both[r["i"], r["j"]] = r["n"]
-    n = classes.count()
-    parts = group_bits(both, n, 4 if n <= 1 << 18 else 3 if n <= 1 << 26 else 2)
-    full = [sum(1 << i for i in p) for p in parts]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    values = classes.select(F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(x))) for x in full))).alias("part", "v")).groupBy("part", "v").count()
-    masked = [(k, signed(m)) for k, p in enumerate(parts) for m in masks_of(p, 1)]
-    ones = F.create_map(*(x for k in range(len(parts)) for x in (F.lit(k), F.array(*(F.lit(m) for j, m in masked if j == k)))))
-    zero = {r["part"]: float(r["c"]) for r in values.groupBy("part").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("c")).collect()}
-    one = values.select("part", F.posexplode(F.transform(ones[F.col("part")], lambda m: m.bitwiseAND(F.col("v")))).alias("b", "v"), "count").groupBy("part", "b", "v").agg(F.sum("count").cast("double").alias("c"))
-    first = {r["part"]: float(r["c"]) for r in one.groupBy("part").agg(F.sum(F.col("c") * F.col("c")).alias("c")).collect()}
-    costs = []
-    for k, p in enumerate(parts):
-        c0, c1 = zero.get(k, 0.0), first.get(k, 0.0)
-        rate = max(2.0, c1 / max(c0, 1.0))
-        counts = [c0, c1]
-        while len(counts) <= radius:
-            counts.append(counts[-1] * rate / len(counts))
-        costs.append([0.0] + [counts[t] + 8.0 * n * comb(len(p), t) for t in range(radius + 1)])
-    return [m for p, t in zip(parts, allocate(costs, radius + 1)) for m in masks_of(p, t)]
+def probe(rows: DataFrame, masks: list[int], work, radius: int) -> DataFrame:
+    """(u, v): work's pairs over the buckets of rows (fp, node, size, comp)."""
+    m, key = F.col("m"), F.col("fp").bitwiseAND(F.col("m"))
+    cols = ["m", "fp", "node", "size", "comp"]
+    dealt = rows.select("fp", "node", "size", "comp", F.explode(F.array(*(F.lit(_signed(x)) for x in masks))).alias("m")).select(*cols)
+    found = cut(dealt.repartition(m, key).sortWithinPartitions(m, key).mapInArrow(_buckets(work, radius, 2, HOT), _ROWS))
+    pairs = found.where("m = 0").select(F.col("node").alias("u"), F.col("comp").alias("v"))
+    hot = found.where("m <> 0")
+    if hot.isEmpty():
+        return pairs
+    sizes = hot.groupBy(m, key.alias("key")).agg(F.ceil(2 * F.count("*") / HOT).cast("long").alias("k"))
+    b = F.pmod(F.xxhash64("node", F.lit(3)), F.col("k"))
+    split = hot.join(sizes.withColumnRenamed("m", "_m"), (m == F.col("_m")) & (key == F.col("key"))).withColumn("b", b)
+    split = split.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    split = split.select(*cols, F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    dealt = split.repartition(m, key, F.col("i"), F.col("j")).sortWithinPartitions(m, key, "i", "j")
+    more = dealt.mapInArrow(_buckets(work, radius, 4, None), _ROWS)
+    return pairs.unionByName(more.select(F.col("node").alias("u"), F.col("comp").alias("v")))
+
+
+def _named(marked: DataFrame, classes: DataFrame, comp: DataFrame, by: str) -> DataFrame:
+    """marked (doc_id, text_hash, `by` and others) with component and component_id; classes has `by` and its smallest id `doc`."""
+    of = classes.join(comp, classes[by] == comp.id, "left").select(by, "doc", F.coalesce("component", by).alias("component"))
+    names = of.groupBy("component").agg(F.min("doc").alias("low"))
+    of = of.join(names, "component").select(by, "component", F.when(F.col("low") < LAST, F.col("low")).alias("component_id"))
+    return marked.join(of, by)
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
@@ -244,19 +344,123 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     marked = cut(docs.select("doc_id", fingerprint("text").alias("fp"), F.xxhash64("text").alias("text_hash")))
     classes = cut(marked.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(LAST)).alias("doc")))
     # nodes are fingerprints, as one id can have several texts; ids name the components afterwards
+    zero = F.lit(0).cast("long")
+    rows = classes.select("fp", F.col("fp").alias("node"), zero.alias("size"), zero.alias("comp"))
+    comp = components(probe(rows, plan(classes, radius), _links, radius))
+    return _named(marked, classes, comp, "fp").select("doc_id", "fp", "component", "component_id", "text_hash")
+
+
+def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, offsets): the sorted distinct hashes of the five-word shingles of each text."""
+    parts, sizes = [], []
+    for a, b, raw, offsets in V.chunks(texts):
+        w = V.words(_LOWER[raw], offsets)
+        words = V.word_hashes(w)
+        at = V.starts_of_ngrams(w, SHINGLE)
+        text, h = [w.text[at]], [V.ngram_hashes(words, SHINGLE)[at]]
+        for n in range(1, SHINGLE):
+            short = np.flatnonzero(w.counts == n)
+            text.append(short)
+            h.append(V.ngram_hashes(words, n, 1)[w.first[short]])
+        text, h = _distinct(np.concatenate(text), np.concatenate(h))
+        parts.append(h)
+        sizes.append(np.bincount(text, minlength=b - a))
+    flat = np.concatenate([np.zeros(0, np.uint64), *parts])
+    return flat, np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes]))
+
+
+def _distinct(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((h, text))
+    text, h = text[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return text[new], h[new]
+
+
+def word_fingerprints(texts: pa.Array) -> np.ndarray:
+    """SimHash of each text's distinct words."""
+    parts = [np.zeros(0, np.uint64)]
+    for a, b, raw, offsets in V.chunks(texts):
+        w = V.words(_LOWER[raw], offsets)
+        text, h = _distinct(w.text, V.word_hashes(w))
+        parts.append(majority(text, V.mix(h), b - a))
+    return np.concatenate(parts)
+
+
+MARKS = T.StructType([T.StructField(n, T.LongType()) for n in ("node", "size", "fp")])
+
+
+@F.arrow_udf(MARKS)
+def shingle_marks(t: pa.Array) -> pa.Array:
+    """A number of each text's shingle set, the set's size and the fingerprint of its words."""
+    got = [(np.zeros(0, np.int64),) * 3]
+    for k in range(0, len(t), 1024):
+        part = t.slice(k, 1024)
+        flat, offsets = shingle_sets(part)
+        size = np.diff(offsets)
+        total = V.sums(V.mix(flat ^ np.uint64(0x9E3779B97F4A7C15)).view(np.int64), offsets)
+        node = V.mix(total.view(np.uint64) + size.astype(np.uint64)).view(np.int64)
+        got.append((node, size, word_fingerprints(part).view(np.int64)))
+    V.release()
+    return pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], ["node", "size", "fp"])
+
+
+def _compare(batches):
+    """Of rows (u, v, node, text) sorted by all but the text: the pairs u, v whose texts have a Jaccard similarity of at least 0.8, which is 9 |x and y| >= 4 (|x| + |y|)."""
+    last, x = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            flat, offsets = shingle_sets(part.column(3))
+            found = []
+            for i, now in enumerate(zip(*(part.column(c).to_pylist() for c in range(3)))):
+                y = flat[offsets[i] : offsets[i + 1]]
+                if last is not None and last[:2] == now[:2] and last[2] != now[2]:
+                    if 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)):
+                        found.append(now[:2])
+                last, x = now, y
+            x = x.copy()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["u", "v"])
+        V.release()
+
+
+def _verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (u, v) of shingle sets that reach the similarity, counted on one text of each."""
+    pairs = cut(pairs.where("u <> v").distinct())
+    ends = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("node"))
+    one = marked.join(ends.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_hash", "d")).alias("one"))
+    ends = cut(ends.join(one, "node").select("u", "v", "node", "one.text_hash", "one.d"))
+    if ends.count() <= SMALL:
+        ends = F.broadcast(ends)
+    # a row of docs that repeats comes as often as it does, next to itself
+    both = docs.join(ends, ["text_hash", "d"]).select("u", "v", "node", "text")
+    return cut(both.repartition("u", "v").sortWithinPartitions("u", "v", "node").mapInArrow(_compare, "u long, v long"))
+
+
+def similar(docs: DataFrame, *, radius: int = WORD_RADIUS) -> DataFrame:
+    """(doc_id, component, component_id, text_hash) for every row of docs (doc_id, text), by five-word similarity."""
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "text", F.xxhash64("text").alias("text_hash"))
+    marked = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), shingle_marks("text").alias("x"))
+    marked = cut(marked.select("doc_id", "text_hash", "x.node", "x.size", "x.fp"))
+    ids = marked.select("node", "text_hash", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"))
+    classes = cut(marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.coalesce(F.min("doc_id").cast("long"), F.lit(LAST)).alias("doc")))
     masks = plan(classes, radius)
-    keyed = classes.select("fp", F.col("fp").alias("node")).mapInArrow(_keys(masks), "mask int, key long, fp long, node long")
-    edges = keyed.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_verify(radius), "u long, v long")
-    comp = components(edges)
-    of = classes.join(comp, classes.fp == comp.id, "left").select("fp", "doc", F.coalesce("component", "fp").alias("component"))
-    names = of.groupBy("component").agg(F.min("doc").alias("low"))
-    of = of.join(names, "component").select("fp", "component", F.when(F.col("low") < LAST, F.col("low")).alias("component_id"))
-    return marked.join(of, "fp").select("doc_id", "fp", "component", "component_id", "text_hash")
+    rows = classes.select("fp", "node", "size", F.col("node").alias("comp"))
+    near = cut(probe(rows, masks, _ends, radius).distinct())
+    links = _verified(near, ids, texts)
+    first = cut(components(links)).withColumnRenamed("id", "node")
+    # only what has a neighbour at all can have another one
+    again = rows.drop("comp").join(near.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node").join(first, "node", "left")
+    again = cut(again.select("fp", "node", "size", F.coalesce("component", "node").alias("comp")))
+    rest = _verified(probe(again, masks, _apart, radius), ids, texts)
+    comp = cut(components(links.unionByName(rest)))
+    return _named(marked, classes, comp, "node").select("doc_id", "component", "component_id", "text_hash")
 
 
-def keep_one(docs: DataFrame, *, radius: int = SIMILAR_RADIUS) -> DataFrame:
-    """docs' columns of one document of each group: the one of the smallest doc_id, null last."""
-    return one_of_each(docs, near_duplicates(docs.select("doc_id", "text"), radius=radius))
+def keep_one(docs: DataFrame, *, radius: int = WORD_RADIUS) -> DataFrame:
+    """docs' columns of one document of each group of similar(): the one of the smallest doc_id, null last."""
+    return one_of_each(docs, similar(docs.select("doc_id", "text"), radius=radius))
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -264,7 +468,7 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"))
     first = first.select(F.coalesce("one.doc_id", F.lit(LAST)).alias("_d"), F.col("one.text_hash").alias("_h"))
     d = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("_d"), F.xxhash64(docs["text"]).alias("_h"))
-    once = Window.partitionBy("_d", "_h").orderBy("_h")
+    once = Window.partitionBy("_d", "_h").orderBy(F.to_json("row"))
     d = d.join(first.distinct(), ["_d", "_h"]).withColumn("_n", F.row_number().over(once)).where("_n = 1")
     return d.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 

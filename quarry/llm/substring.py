@@ -203,7 +203,19 @@ def _boundaries(table: pa.Table, verdicts: pa.Table) -> pa.Table:
     return _table(_least(a, s, table.column("block")[0].as_py() if table.num_rows else -1, d, d), _INDEX)
 
 
-def _strip(table: pa.Table, verdicts: pa.Table) -> pa.Table:
+def _without(raw: np.ndarray, offsets: np.ndarray, w: V.Words, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, text offsets) without the words from `begin` on, before `end`, and the white space after them."""
+    delta = np.zeros(len(raw) + 1, np.int64)
+    text = w.text[begin]
+    inner = end < w.first[text + 1]
+    stop = np.where(inner, w.start[np.minimum(end, len(w.start) - 1)], offsets[text + 1])
+    np.add.at(delta, w.start[begin], 1)
+    np.add.at(delta, stop, -1)
+    keep = np.cumsum(delta[:-1]) == 0
+    return raw[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+
+
+def _strip(table: pa.Table, verdicts: pa.Table, keep_space: bool) -> pa.Table:
     ids = _ids(table)
     spans, single = Verdicts(verdicts, 0), Verdicts(verdicts, 1)
     n_words, n_removed, kept, spans_at, first, last = [], [], [], [np.zeros(1, np.int64)], [], []
@@ -218,13 +230,13 @@ def _strip(table: pa.Table, verdicts: pa.Table) -> pa.Table:
         gone = V.covered(np.concatenate(starts).astype(np.int64), WINDOW, len(f.words.start))
         n_words.append(f.words.counts)
         n_removed.append(V.sums(gone, f.words.first))
-        body, at, _ = V.joined(f.words, ~gone)
-        kept.append(V.strings(body, at).cast(pa.string()))
         text = f.words.text
         edge = np.append(True, (gone[1:] != gone[:-1]) | (text[1:] != text[:-1])) if len(gone) else np.zeros(0, bool)
         begin = np.flatnonzero(edge & gone)
         end = np.append(np.flatnonzero(edge), len(gone))
         end = end[np.searchsorted(end, begin, "right")]
+        body, at = _without(raw, offsets, f.words, begin, end) if keep_space else V.joined(f.words, ~gone)[:2]
+        kept.append(V.strings(body, at).cast(pa.string()))
         first.append(begin - f.words.first[text[begin]])
         last.append(end - f.words.first[text[begin]])
         spans_at.append(spans_at[-1][-1] + np.cumsum(np.bincount(text[begin], minlength=b - a)))
@@ -234,11 +246,13 @@ def _strip(table: pa.Table, verdicts: pa.Table) -> pa.Table:
     return pa.table({"row": table.column("row"), **add})
 
 
-def dedup_substrings(docs: DataFrame, *, block_rows: int = 500) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, block_rows: int = 500, keep_space: bool = False) -> DataFrame:
     """docs' columns (doc_id and text among them) in a struct `row`, with n_words, n_removed, kept_text
     and spans, the runs of removed words (from `first` on, before `end`).
 
-    block_rows: texts in a block, on average; a block is what one task holds at a time.
+    kept_text is the kept words joined by one space or, with keep_space, the text itself without the runs
+    and the white space after each. block_rows: texts in a block, on average; a block is what one task
+    holds at a time.
     """
     n = max(1, -(-docs.count() // block_rows))
     deal = F.pmod(F.xxhash64(docs["doc_id"], docs["text"]), F.lit(n))
@@ -251,15 +265,15 @@ def dedup_substrings(docs: DataFrame, *, block_rows: int = 500) -> DataFrame:
     windows = d.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_boundaries, _INDEX)
     single = windows.repartition("a", "s").sortWithinPartitions("a", "s", "lo").mapInArrow(_groups(1), _VERDICT)
     schema = T.StructType([d.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), SPANS, T.StructField("text", T.StringType())])
-    out = d.groupBy("block").cogroup(spans.unionByName(single).groupBy("block")).applyInArrow(_with_text, schema)
+    out = d.groupBy("block").cogroup(spans.unionByName(single).groupBy("block")).applyInArrow(lambda t, v: _with_text(t, v, keep_space), schema)
     order = [F.col("text") if c == "text" else F.col("row")[c] for c in docs.columns]
     return out.select(F.struct(*(c.alias(n) for c, n in zip(order, docs.columns))).alias("row"), "n_words", "n_removed", "kept_text", "spans")
 
 
-def _with_text(table: pa.Table, verdicts: pa.Table) -> pa.Table:
+def _with_text(table: pa.Table, verdicts: pa.Table, keep_space: bool) -> pa.Table:
     if not table.num_rows:
         return pa.table({"row": table.column("row"), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string()), "spans": pa.array([], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), "text": table.column("text")})
-    return _strip(table, verdicts).append_column("text", table.column("text"))
+    return _strip(table, verdicts, keep_space).append_column("text", table.column("text"))
 
 
 def _parts(docs: DataFrame) -> int:

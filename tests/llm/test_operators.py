@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -39,6 +40,19 @@ def test_substring_matches_brute_force(docs, rows):
         assert " ".join(w) == r["kept_text"]
 
 
+def test_substring_can_keep_white_space(docs):
+    d = substring.dedup_substrings(docs, keep_space=True).select("row.text", "kept_text", "n_removed", "spans")
+    seen = 0
+    for r in d.collect():
+        pieces = re.findall(r"[^ \t\n\v\f\r]+[ \t\n\v\f\r]*", r["text"] or "")
+        lead = (r["text"] or "")[: len(r["text"] or "") - sum(map(len, pieces))]
+        for s in reversed(r["spans"]):
+            del pieces[s["first"] : s["end"]]
+        assert r["kept_text"] == lead + "".join(pieces)
+        seen += r["n_removed"] > 0 and "\n" in r["kept_text"]
+    assert seen
+
+
 def test_substring_empty(spark, docs):
     assert substring.dedup_substrings(docs.limit(0)).count() == 0
 
@@ -83,7 +97,7 @@ def test_simhash_matches_brute_force(docs, rows):
             low[k] = d if low[k] is None else min(low[k], d)
     want = Counter((d, f, low[k]) for (d, *_), f, k in zip(rows, fps, label))
     assert Counter((d, f & (2**64 - 1), c) for d, f, c in got) == want
-    kept = simhash.keep_one(docs, radius=3)
+    kept = simhash.one_of_each(docs, simhash.near_duplicates(docs))
     assert kept.columns == docs.columns and kept.count() == len(set(label))
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
@@ -92,7 +106,7 @@ def test_simhash_wide_radius(docs, rows):
     fps = [brute.fingerprint(t) for _, t, *_ in rows]
     label = brute.groups(fps, lambda a, b: (a ^ b).bit_count() <= 7)
     got = simhash.near_duplicates(docs, radius=7)
-    assert got.select("component").distinct().count() == len(set(label)) == simhash.keep_one(docs).count()
+    assert got.select("component").distinct().count() == len(set(label)) == simhash.one_of_each(docs, got).count()
 
 
 def test_simhash_thresholds_lose_no_link(spark):
@@ -101,11 +115,11 @@ def test_simhash_thresholds_lose_no_link(spark):
     near = [int(b) ^ sum(1 << int(i) for i in r.choice(64, r.integers(0, 5), replace=False)) for b in np.repeat(base, 8)]
     fps = sorted(set(near))
     signed = [f - 2**64 if f >> 63 else f for f in fps]
-    df = spark.createDataFrame([(f, f) for f in signed], "fp long, node long").repartition(4)
+    df = spark.createDataFrame([(f, f, 0, 0) for f in signed], "fp long, node long, size long, comp long").repartition(4)
     parts = [list(range(0, 21)), list(range(21, 42)), list(range(42, 64))]
     for thresholds in ([1, 0, 0], [2, 0, -1], [0, -1, 2], [3, -1, -1]):
         masks = [m for p, t in zip(parts, thresholds) for m in simhash.masks_of(p, t)]
-        edges = df.mapInArrow(simhash._keys(masks), "mask int, key long, fp long, node long").repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(simhash._verify(3, small=4), "u long, v long")
+        edges = simhash.probe(df, masks, simhash._links, 3)
         comp = dict(simhash.components(edges).collect())
         label = brute.groups(fps, lambda a, b: (a ^ b).bit_count() <= 3)
         want, got = defaultdict(set), defaultdict(set)
@@ -152,7 +166,7 @@ def test_mixing_hits_targets(docs, rows):
             taken[g["source"]] += g["taken"]
         for s in size:
             assert abs(taken[s] - want[s]) <= 32 + 8 * (size[s] // 500 + 1), s
-    assert sorted(map(tuple, got)) if False else len(got) == len(rows)
+    assert Counter(g["doc_id"] for g in got) == Counter(r[0] for r in rows)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     assert mixed.select(F.sum(mixing.word_count(F.col("text")))).first()[0] == mixing.allot(slim, slim).agg(F.sum("taken")).first()[0]

@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import mixing, quality, simhash
+from quarry.llm import mixing, quality
 from quarry.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm import brute, fixtures
 from tests.llm.test_operators import PAGE
+from tests.llm.test_similar import shingles, similar
 
 COLUMNS = {
     1: {"page_id", "url", "text", "n_chars"},
@@ -81,8 +82,7 @@ def test_pipeline_stages(spark, odd):
     assert Counter(got[1]) == kept
     assert all((s := brute.stats(t))[0] >= 50 and 100 * s[4] <= 50 * s[0] for _, t in got[1])
 
-    fps = [brute.fingerprint(t) for _, t in got[1]]
-    label = brute.groups(fps, lambda a, b: (a ^ b).bit_count() <= simhash.SIMILAR_RADIUS)
+    label = brute.groups([shingles(t) for _, t in got[1]], similar)
     low = {}
     for (d, _), k in zip(got[1], label):
         low[k] = min(low.get(k, (True, 0)), (d is None, d or 0))

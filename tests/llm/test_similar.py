@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
-from quarry.llm import jaccard
+from quarry.llm import simhash
 from tests.llm import brute
 
 
@@ -39,24 +41,38 @@ def documents():
     return [(k, t) for k, t in enumerate(texts)] + [(None, texts[0]), (3, texts[3]), (3, "another text with this number")]
 
 
-def test_near_dedup_stage_is_brute_force_jaccard(spark):
+def low_ids(rows, label):
+    """The smallest id of each group, null last."""
+    low = {}
+    for (d, _), k in zip(rows, label):
+        low[k] = min(low.get(k, (True, 0)), (d is None, d or 0))
+    return Counter(low.values())
+
+
+def test_keep_one_is_brute_force_jaccard_at_a_wide_radius(spark):
     rows = documents()
     sets = [shingles(t) for _, t in rows]
     label = brute.groups(sets, similar)
     sizes = Counter(label)
     assert len(sizes) < len(rows) - 60 and max(sizes.values()) >= 40
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    low = {}
-    for (d, _), k in zip(rows, label):
-        low[k] = min(low.get(k, (True, 0)), (d is None, d or 0))
-    kept = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    kept = simhash.keep_one(docs, radius=12)
     assert kept.columns == docs.columns
-    assert Counter((r[0] is None, r[0] or 0) for r in kept.collect()) == Counter(low.values())
-    assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+    assert Counter((r[0] is None, r[0] or 0) for r in kept.collect()) == low_ids(rows, label)
+
+
+def test_stage_links_only_similar_texts_and_finds_most(spark):
+    rows = documents()
+    label = brute.groups([shingles(t) for _, t in rows], similar)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = Counter((r[0] is None, r[0] or 0) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect())
+    want = low_ids(rows, label)
+    assert not want - kept  # no group loses its document
+    assert sum((kept - want).values()) <= 0.1 * (len(rows) - sum(want.values()))
+    assert simhash.similar(docs.limit(0)).count() == 0
 
 
-def test_links_are_verified_and_not_lost(spark):
-    # one word in five hundred shingles' worth of text against many edits: seven bits of three-word fingerprints err both ways
+def test_links_are_verified(spark):
     r = random.Random(3)
     words = [f"v{i}" for i in range(300)]
     pairs = []
@@ -67,9 +83,56 @@ def test_links_are_verified_and_not_lost(spark):
             b[at] = "new"
         pairs.append((a, b))
     rows = [(2 * k + j, " ".join(w)) for k, p in enumerate(pairs) for j, w in enumerate(p)]
-    got = {d: c for d, c, _ in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {d: c for d, c, *_ in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     linked = [similar(shingles(rows[2 * k][1]), shingles(rows[2 * k + 1][1])) for k in range(len(pairs))]
     assert [got[2 * k] == got[2 * k + 1] for k in range(len(pairs))] == linked
     assert 0 < sum(linked) < len(linked)
-    seven = [(brute.fingerprint(rows[2 * k][1]) ^ brute.fingerprint(rows[2 * k + 1][1])).bit_count() <= 7 for k in range(len(pairs))]
-    assert seven != linked
+
+
+def test_plan_has_no_switch_by_size():
+    """Candidate rows of a fingerprint hardly change from one size to the next, and costs grow evenly."""
+    for radius in (simhash.RADIUS, simhash.WORD_RADIUS):
+        def at(n):
+            both = np.full((64, 64), n / 4) + np.diag(np.full(64, n / 4))
+            parts = {m: simhash.group_bits(both, n, m) for m in simhash.PARTITIONS}
+            equal = {(m, k): float(n) * n / 2 ** len(p) for m, ps in parts.items() for k, p in enumerate(ps)}
+            return simhash.chosen(both, n, parts, equal, radius)
+
+        for n in (1 << 18, 1 << 26):
+            before, after = at(n - 1), at(n + 1)
+            assert len(before[0]) == len(after[0])
+        cost = [at(10**e)[1] / 10**e for e in range(4, 10)]
+        assert all(a <= b <= 12 * a for a, b in zip(cost, cost[1:]))
+
+
+def test_hot_buckets_are_split_and_lose_nothing(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    base = r.integers(0, 2**63, 12, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in r.choice(64, r.integers(0, 6), replace=False)) for _ in range(900)], np.uint64)
+    fps = np.unique(base[r.integers(0, 12, 900)] ^ flips).view(np.int64).tolist()
+    df = spark.createDataFrame([(f, f, 10, f) for f in fps], "fp long, node long, size long, comp long").repartition(4)
+    masks = [m for part in simhash.group_bits(np.eye(64), 1, 4) for m in simhash.masks_of(part, 0)]
+    want = {frozenset((a, b)) for k, a in enumerate(fps) for b in fps[:k] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
+
+    def found(work):
+        return {frozenset(p) for p in simhash.probe(df, masks, work, 3).collect()}
+
+    for hot in (4096, 16):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        assert found(simhash._apart) == want
+        ends = found(simhash._ends)
+        assert ends <= want and {n for p in ends for n in p} == {n for p in want for n in p}
+        comp = dict(simhash.components(simhash.probe(df, masks, simhash._links, 3)).collect())
+        assert all(comp[a] == comp[b] for a, b in map(tuple, want))
+
+
+def test_a_hot_bucket_is_streamed():
+    import pyarrow as pa
+
+    def batches():
+        for k in range(60):
+            n = np.arange(10_000, dtype=np.int64) + 10_000 * k
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(10_000, 1 << 40), n, n, 0 * n, 0 * n)], names=["m", "fp", "node", "size", "comp"])
+
+    out = list(simhash._buckets(simhash._links, 3, 2, simhash.HOT)(batches()))
+    assert sum(b.num_rows for b in out) == 600_000 and max(b.num_rows for b in out) <= 210_000

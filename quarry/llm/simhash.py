@@ -8,13 +8,13 @@ lost whatever thresholds are chosen. Partitions and thresholds are those of the
 made of the rows that the masks deal out and of the candidates that all fingerprints lead one to
 expect; it has no switch by size, so one more row never makes the work jump.
 
-near_duplicates() links fingerprints of three-word shingles within the radius. similar() takes the same
-search as its candidates, over fingerprints of the distinct words, which move less when a text is
-edited, and links texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8,
-counted on the texts. Its first round verifies the first and the last neighbour of each text in a bucket,
-its second all neighbours that the first left in different components, so that a large group of near
-copies isn't compared pair by pair. Of the pairs of that similarity, those whose fingerprints differ in
-more than WORD_RADIUS bits are missed unless others connect them (measured recall: README).
+near_duplicates() links fingerprints of three-word shingles within the radius. similar() makes the same
+search over fingerprints of the distinct words, which move less when a text is edited, with a wider
+radius, for candidates only: within each group that it finds, the sets of five-word shingles of all
+texts are compared, and those of a Jaccard similarity of at least 0.8 are linked. Groups of more than
+GROUP texts are compared in pairs of blocks; links leave a task as spanning trees. The work is quadratic
+in a group. Of the pairs of that similarity, those whose fingerprints differ in more than WORD_RADIUS bits
+are missed unless others connect them (measured recall: README).
 
 A bucket of more than HOT rows isn't compared where it lands: its rows are dealt out again over pairs
 of blocks of at most about HOT rows each.
@@ -34,7 +34,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,7 @@ RADIUS = 3
 #: For similar(): differing bits of fingerprints of distinct words, and words of a shingle. 97 in 100 pairs of a
 #: similarity of 0.8 or more lie within 7 bits (93 within 6).
 WORD_RADIUS, SHINGLE = 7, 5
+GROUP = 256  # texts of a block of a group
 HOT = 4096  # rows of a bucket that are compared at once
 ROW_COST = 64  # a row dealt out costs as much as so many comparisons
 PARTITIONS = (2, 3, 4)
@@ -185,7 +186,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-_ROWS = "m long, fp long, node long, size long, comp long"
+_ROWS = "m long, fp long, node long, size long"
 
 
 def _near_pairs(bucket: np.ndarray, fp: np.ndarray, radius: int):
@@ -202,13 +203,17 @@ def _near_pairs(bucket: np.ndarray, fp: np.ndarray, radius: int):
             yield hit, hit + d
 
 
-def _links(bucket, fp, node, size, comp, radius):
-    """Edges that connect what is linked: stars around the smallest node of each component."""
+def _links(bucket, fp, node, size, radius):
+    """Edges that connect what is linked: stars around the smallest node of each component.
+
+    Sizes that differ by more than a fifth of the larger one rule a pair out; 0 rules nothing out.
+    """
     us, vs, held = [], [], 0
     for i, j in _near_pairs(bucket, fp, radius):
-        us.append(node[i])
-        vs.append(node[j])
-        held += len(i)
+        ok = 5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])
+        us.append(node[i[ok]])
+        vs.append(node[j[ok]])
+        held += len(us[-1])
         if held > 500_000:
             x, y = forest(np.concatenate(us), np.concatenate(vs))
             us, vs, held = [x], [y], len(x) // 2
@@ -216,72 +221,42 @@ def _links(bucket, fp, node, size, comp, radius):
         yield forest(np.concatenate(us), np.concatenate(vs))
 
 
-def _ends(bucket, fp, node, size, comp, radius):
-    """Of each row the pairs with its first and its last neighbour whose sizes admit the similarity."""
-    n = len(fp)
-    first, last = np.full(n, n), np.full(n, -1)
-    for i, j in _near_pairs(bucket, fp, radius):
-        ok = 5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])
-        i, j = i[ok], j[ok]
-        np.minimum.at(first, j, i)
-        np.maximum.at(last, i, j)
-    a, b = np.flatnonzero(first < n), np.flatnonzero(last >= 0)
-    u, v = np.concatenate([first[a], b]), np.concatenate([a, last[b]])
-    yield np.minimum(node[u], node[v]), np.maximum(node[u], node[v])
-
-
-def _apart(bucket, fp, node, size, comp, radius):
-    """The pairs of different components whose sizes admit the similarity."""
-    us, vs, held = [], [], 0
-    for i, j in _near_pairs(bucket, fp, radius):
-        ok = (comp[i] != comp[j]) & (5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j]))
-        us.append(np.minimum(node[i[ok]], node[j[ok]]))
-        vs.append(np.maximum(node[i[ok]], node[j[ok]]))
-        held += len(us[-1])
-        if held > 500_000:
-            yield np.concatenate(us), np.concatenate(vs)
-            us, vs, held = [], [], 0
-    if held:
-        yield np.concatenate(us), np.concatenate(vs)
-
-
-def _buckets(work, radius: int, keys: int, hot: int | None):
+def _buckets(radius: int, keys: int, hot: int | None):
     """Streams rows sorted by bucket (m, fp & m and, with three keys, what block pair they are dealt to).
 
-    Yields work's pairs as rows with m = 0, node and comp; rows of buckets of more than `hot` rows come
+    Yields links as rows with m = 0, their ends in fp and node; rows of buckets of more than `hot` rows come
     out as they are. What is held at a time has 200,000 rows and, where hot is set, no more of a bucket.
     """
 
     def batch(cols):
-        types = (pa.int64(),) * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["m", "fp", "node", "size", "comp"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["m", "fp", "node", "size"])
 
     def run(batches):
         held, rows = [], 0
         open_hot = None  # the bucket whose rows pass as they are
 
         def done(cols):
-            key = cols[:1] + [cols[1] & cols[0]] + cols[5:]
+            key = cols[:1] + [cols[1] & cols[0]] + cols[4:]
             new = np.ones(len(cols[0]), bool)
             new[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
             bucket = np.cumsum(new) - 1
             keep = np.ones(len(bucket), bool) if hot is None else np.bincount(bucket)[bucket] <= hot
             if not keep.all():
-                yield batch([c[~keep] for c in cols[:5]])
-            m, fp, node, size, comp = (c[keep] for c in cols[:5])
-            for u, v in work(bucket[keep], fp.view(np.uint64), node, size, comp, radius):
+                yield batch([c[~keep] for c in cols[:4]])
+            m, fp, node, size = (c[keep] for c in cols[:4])
+            for u, v in _links(bucket[keep], fp.view(np.uint64), node, size, radius):
                 zero = np.zeros(len(u), np.int64)
                 if len(u):
-                    yield batch((zero, zero, u, zero, v))
+                    yield batch((zero, u, v, zero))
 
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5 if keys == 2 else 7)]
+            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2 + keys)]
             if open_hot is not None:
                 same = (cols[0] == open_hot[0]) & ((cols[1] & cols[0]) == open_hot[1])
                 if same.any():
-                    yield batch([c[same] for c in cols[:5]])
+                    yield batch([c[same] for c in cols[:4]])
                     cols = [c[~same] for c in cols]
                 if not len(cols[0]):
                     continue
@@ -291,7 +266,7 @@ def _buckets(work, radius: int, keys: int, hot: int | None):
             if rows < 200_000:
                 continue
             cols = [np.concatenate(x) for x in zip(*held)]
-            key = cols[:1] + [cols[1] & cols[0]] + cols[5:]
+            key = cols[:1] + [cols[1] & cols[0]] + cols[4:]
             last = np.all([k == k[-1] for k in key], axis=0)
             if hot is not None and last.sum() > hot:  # too many already: the rest of it passes as it comes
                 open_hot = (cols[0][-1], cols[1][-1] & cols[0][-1])
@@ -308,24 +283,27 @@ def _buckets(work, radius: int, keys: int, hot: int | None):
     return run
 
 
-def probe(rows: DataFrame, masks: list[int], work, radius: int) -> DataFrame:
-    """(u, v): work's pairs over the buckets of rows (fp, node, size, comp)."""
+def probe(rows: DataFrame, masks: list[int], radius: int) -> DataFrame:
+    """(u, v): edges that connect the nodes of rows (fp, node, size) that are within the radius."""
     m, key = F.col("m"), F.col("fp").bitwiseAND(F.col("m"))
-    cols = ["m", "fp", "node", "size", "comp"]
-    dealt = rows.select("fp", "node", "size", "comp", F.explode(F.array(*(F.lit(_signed(x)) for x in masks))).alias("m")).select(*cols)
-    found = cut(dealt.repartition(m, key).sortWithinPartitions(m, key).mapInArrow(_buckets(work, radius, 2, HOT), _ROWS))
-    pairs = found.where("m = 0").select(F.col("node").alias("u"), F.col("comp").alias("v"))
+    cols = ["m", "fp", "node", "size"]
+    dealt = rows.select("fp", "node", "size", F.explode(F.array(*(F.lit(_signed(x)) for x in masks))).alias("m")).select(*cols)
+    found = cut(dealt.repartition(m, key).sortWithinPartitions(m, key).mapInArrow(_buckets(radius, 2, HOT), _ROWS))
+    edges = found.where("m = 0").select(F.col("fp").alias("u"), F.col("node").alias("v"))
     hot = found.where("m <> 0")
     if hot.isEmpty():
-        return pairs
-    sizes = hot.groupBy(m, key.alias("key")).agg(F.ceil(2 * F.count("*") / HOT).cast("long").alias("k"))
-    b = F.pmod(F.xxhash64("node", F.lit(3)), F.col("k"))
-    split = hot.join(sizes.withColumnRenamed("m", "_m"), (m == F.col("_m")) & (key == F.col("key"))).withColumn("b", b)
-    split = split.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+        return edges
+    sizes = hot.groupBy(m.alias("_m"), key.alias("_key")).agg(F.ceil(2 * F.count("*") / HOT).cast("long").alias("k"))
+    split = hot.join(sizes, (m == F.col("_m")) & (key == F.col("_key"))).select(*cols, *_block_pair(F.col("node"), F.col("k")))
     split = split.select(*cols, F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
     dealt = split.repartition(m, key, F.col("i"), F.col("j")).sortWithinPartitions(m, key, "i", "j")
-    more = dealt.mapInArrow(_buckets(work, radius, 4, None), _ROWS)
-    return pairs.unionByName(more.select(F.col("node").alias("u"), F.col("comp").alias("v")))
+    more = dealt.mapInArrow(_buckets(radius, 4, None), _ROWS)
+    return edges.unionByName(more.select(F.col("fp").alias("u"), F.col("node").alias("v")))
+
+
+def _block_pair(node: Column, k: Column) -> tuple[Column, Column]:
+    """(b, o): the node's block of k, and in a row each, every block that it meets."""
+    return F.pmod(F.xxhash64(node, F.lit(3)), k).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), k - 1)).alias("o")
 
 
 def _named(marked: DataFrame, classes: DataFrame, comp: DataFrame, by: str) -> DataFrame:
@@ -344,9 +322,8 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     marked = cut(docs.select("doc_id", fingerprint("text").alias("fp"), F.xxhash64("text").alias("text_hash")))
     classes = cut(marked.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(LAST)).alias("doc")))
     # nodes are fingerprints, as one id can have several texts; ids name the components afterwards
-    zero = F.lit(0).cast("long")
-    rows = classes.select("fp", F.col("fp").alias("node"), zero.alias("size"), zero.alias("comp"))
-    comp = components(probe(rows, plan(classes, radius), _links, radius))
+    rows = classes.select("fp", F.col("fp").alias("node"), F.lit(0).cast("long").alias("size"))
+    comp = components(probe(rows, plan(classes, radius), radius))
     return _named(marked, classes, comp, "fp").select("doc_id", "fp", "component", "component_id", "text_hash")
 
 
@@ -405,57 +382,72 @@ def shingle_marks(t: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], ["node", "size", "fp"])
 
 
+def linked(sets: list[np.ndarray], columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the sets x, y of a Jaccard similarity of at least 0.8, which is 9 |x and y| >= 4 (|x| + |y|)."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(n), size)
+    _, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # of the shingles that two sets have
+    shared = times[which] > 1
+    row, which = row[shared], number[which[shared]]
+    order = np.argsort(which, kind="stable")
+    row, which = row[order], which[order]
+    both = np.zeros((n, n), np.float32)
+    for k in range(0, int(number[-1]) + 1, columns):
+        a, b = np.searchsorted(which, (k, k + columns))
+        x = np.zeros((n, columns), np.float32)
+        x[row[a:b], which[a:b] - k] = 1
+        both += x @ x.T
+    i, j = np.nonzero(9 * both >= 4 * (size[:, None] + size[None, :]))
+    return i[i < j], j[i < j]
+
+
 def _compare(batches):
-    """Of rows (u, v, node, text) sorted by all but the text: the pairs u, v whose texts have a Jaccard similarity of at least 0.8, which is 9 |x and y| >= 4 (|x| + |y|)."""
-    last, x = None, np.zeros(0, np.uint64)
+    """Of rows (group, i, j, node, text) sorted by the first four: links of each group and pair of blocks, as spanning trees."""
+    at, nodes, sets = None, [], []
+
+    def done():
+        if len(nodes) > 1:
+            i, j = linked(sets)
+            if len(i):
+                number = np.array(nodes)
+                u, v = forest(number[i], number[j])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
-            flat, offsets = shingle_sets(part.column(3))
-            found = []
-            for i, now in enumerate(zip(*(part.column(c).to_pylist() for c in range(3)))):
-                y = flat[offsets[i] : offsets[i + 1]]
-                if last is not None and last[:2] == now[:2] and last[2] != now[2]:
-                    if 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)):
-                        found.append(now[:2])
-                last, x = now, y
-            x = x.copy()
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["u", "v"])
+            flat, offsets = shingle_sets(part.column(4))
+            for r, (*now, node) in enumerate(zip(*(part.column(c).to_pylist() for c in range(4)))):
+                if now != at:
+                    yield from done()
+                    at, nodes, sets = now, [], []
+                if not nodes or nodes[-1] != node:  # a row of docs that repeats comes as often as it does
+                    nodes.append(node)
+                    sets.append(flat[offsets[r] : offsets[r + 1]].copy())
         V.release()
-
-
-def _verified(pairs: DataFrame, marked: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) of shingle sets that reach the similarity, counted on one text of each."""
-    pairs = cut(pairs.where("u <> v").distinct())
-    ends = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("node"))
-    one = marked.join(ends.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_hash", "d")).alias("one"))
-    ends = cut(ends.join(one, "node").select("u", "v", "node", "one.text_hash", "one.d"))
-    if ends.count() <= SMALL:
-        ends = F.broadcast(ends)
-    # a row of docs that repeats comes as often as it does, next to itself
-    both = docs.join(ends, ["text_hash", "d"]).select("u", "v", "node", "text")
-    return cut(both.repartition("u", "v").sortWithinPartitions("u", "v", "node").mapInArrow(_compare, "u long, v long"))
+    yield from done()
 
 
 def similar(docs: DataFrame, *, radius: int = WORD_RADIUS) -> DataFrame:
     """(doc_id, component, component_id, text_hash) for every row of docs (doc_id, text), by five-word similarity."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "text", F.xxhash64("text").alias("text_hash"))
+    d = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d")
     marked = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), shingle_marks("text").alias("x"))
     marked = cut(marked.select("doc_id", "text_hash", "x.node", "x.size", "x.fp"))
-    ids = marked.select("node", "text_hash", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"))
-    classes = cut(marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.coalesce(F.min("doc_id").cast("long"), F.lit(LAST)).alias("doc")))
-    masks = plan(classes, radius)
-    rows = classes.select("fp", "node", "size", F.col("node").alias("comp"))
-    near = cut(probe(rows, masks, _ends, radius).distinct())
-    links = _verified(near, ids, texts)
-    first = cut(components(links)).withColumnRenamed("id", "node")
-    # only what has a neighbour at all can have another one
-    again = rows.drop("comp").join(near.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node").join(first, "node", "left")
-    again = cut(again.select("fp", "node", "size", F.coalesce("component", "node").alias("comp")))
-    rest = _verified(probe(again, masks, _apart, radius), ids, texts)
-    comp = cut(components(links.unionByName(rest)))
-    return _named(marked, classes, comp, "node").select("doc_id", "component", "component_id", "text_hash")
+    one = F.min(F.struct("text_hash", d)).alias("one")
+    classes = cut(marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.coalesce(F.min("doc_id").cast("long"), F.lit(LAST)).alias("doc"), one))
+    group = components(probe(classes.select("fp", "node", "size"), plan(classes, radius), radius)).select(F.col("id").alias("node"), F.col("component").alias("group"))
+    group = cut(group)
+    blocks = group.groupBy("group").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("k"))
+    members = cut(group.join(blocks, "group").join(classes, "node").select("group", "k", "node", "one.text_hash", "one.d"))
+    if members.count() <= SMALL:
+        members = F.broadcast(members)
+    texts = docs.select(d, "text", F.xxhash64("text").alias("text_hash")).join(members, ["text_hash", "d"])
+    texts = texts.select("group", "node", "text", *_block_pair(F.col("node"), F.col("k")))
+    texts = texts.select("group", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "node", "text")
+    links = texts.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node").mapInArrow(_compare, "u long, v long")
+    return _named(marked, classes, cut(components(links)), "node").select("doc_id", "component", "component_id", "text_hash")
 
 
 def keep_one(docs: DataFrame, *, radius: int = WORD_RADIUS) -> DataFrame:

@@ -115,11 +115,11 @@ def test_simhash_thresholds_lose_no_link(spark):
     near = [int(b) ^ sum(1 << int(i) for i in r.choice(64, r.integers(0, 5), replace=False)) for b in np.repeat(base, 8)]
     fps = sorted(set(near))
     signed = [f - 2**64 if f >> 63 else f for f in fps]
-    df = spark.createDataFrame([(f, f, 0, 0) for f in signed], "fp long, node long, size long, comp long").repartition(4)
+    df = spark.createDataFrame([(f, f, 0) for f in signed], "fp long, node long, size long").repartition(4)
     parts = [list(range(0, 21)), list(range(21, 42)), list(range(42, 64))]
     for thresholds in ([1, 0, 0], [2, 0, -1], [0, -1, 2], [3, -1, -1]):
         masks = [m for p, t in zip(parts, thresholds) for m in simhash.masks_of(p, t)]
-        edges = simhash.probe(df, masks, simhash._links, 3)
+        edges = simhash.probe(df, masks, 3)
         comp = dict(simhash.components(edges).collect())
         label = brute.groups(fps, lambda a, b: (a ^ b).bit_count() <= 3)
         want, got = defaultdict(set), defaultdict(set)

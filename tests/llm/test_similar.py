@@ -110,20 +110,32 @@ def test_hot_buckets_are_split_and_lose_nothing(spark, monkeypatch):
     base = r.integers(0, 2**63, 12, dtype=np.uint64)
     flips = np.array([sum(1 << int(b) for b in r.choice(64, r.integers(0, 6), replace=False)) for _ in range(900)], np.uint64)
     fps = np.unique(base[r.integers(0, 12, 900)] ^ flips).view(np.int64).tolist()
-    df = spark.createDataFrame([(f, f, 10, f) for f in fps], "fp long, node long, size long, comp long").repartition(4)
+    df = spark.createDataFrame([(f, f, 10) for f in fps], "fp long, node long, size long").repartition(4)
     masks = [m for part in simhash.group_bits(np.eye(64), 1, 4) for m in simhash.masks_of(part, 0)]
-    want = {frozenset((a, b)) for k, a in enumerate(fps) for b in fps[:k] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
-
-    def found(work):
-        return {frozenset(p) for p in simhash.probe(df, masks, work, 3).collect()}
-
+    label = brute.groups(fps, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 3)
     for hot in (4096, 16):
         monkeypatch.setattr(simhash, "HOT", hot)
-        assert found(simhash._apart) == want
-        ends = found(simhash._ends)
-        assert ends <= want and {n for p in ends for n in p} == {n for p in want for n in p}
-        comp = dict(simhash.components(simhash.probe(df, masks, simhash._links, 3)).collect())
-        assert all(comp[a] == comp[b] for a, b in map(tuple, want))
+        comp = dict(simhash.components(simhash.probe(df, masks, 3)).collect())
+        assert len({(comp.get(f, f), k) for f, k in zip(fps, label)}) == len(set(label)) == len({comp.get(f, f) for f in fps})
+
+
+def test_linked_counts_like_sets():
+    r = np.random.default_rng(2)
+    base = np.arange(1, 120, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[r.random(119) > s], r.integers(200, 260, 8).astype(np.uint64)])) for s in r.random(60) * 0.3]
+    want = {(i, j) for j in range(60) for i in range(j) if similar(set(sets[i].tolist()), set(sets[j].tolist()))}
+    for columns in (4096, 16):
+        assert set(zip(*(x.tolist() for x in simhash.linked(sets, columns)))) == want and want
+    assert len(simhash.linked([base, base + np.uint64(500)])[0]) == 0
+
+
+def test_groups_of_many_blocks(spark, monkeypatch):
+    rows = documents()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = Counter(r[0] for r in simhash.keep_one(docs).collect())
+    monkeypatch.setattr(simhash, "GROUP", 8)
+    monkeypatch.setattr(simhash, "SMALL", 0)
+    assert Counter(r[0] for r in simhash.keep_one(docs).collect()) == want
 
 
 def test_a_hot_bucket_is_streamed():
@@ -132,7 +144,7 @@ def test_a_hot_bucket_is_streamed():
     def batches():
         for k in range(60):
             n = np.arange(10_000, dtype=np.int64) + 10_000 * k
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(10_000, 1 << 40), n, n, 0 * n, 0 * n)], names=["m", "fp", "node", "size", "comp"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(10_000, 1 << 40), n, n, 0 * n)], names=["m", "fp", "node", "size"])
 
-    out = list(simhash._buckets(simhash._links, 3, 2, simhash.HOT)(batches()))
+    out = list(simhash._buckets(3, 2, simhash.HOT)(batches()))
     assert sum(b.num_rows for b in out) == 600_000 and max(b.num_rows for b in out) <= 210_000

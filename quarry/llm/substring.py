@@ -11,9 +11,16 @@ windows whose anchor it is. Every text is factored against the index of all bloc
 
 Together this finds exactly the windows whose word sequence starts in a text with a smaller id. What
 is dealt over the network is one row per block and distinct factor, so a passage in a third of all
-texts costs a row per block, not per text; whole groups are never gathered, only streamed sorted.
+texts costs a row per block, not per text, but its first and last factors, which reach into what differs
+around it, a row per text. The rows of one anchor go through one task, which streams them sorted and
+holds none but those that wait for an anchor's second factor.
 
-Defined cases: null and empty texts have no words; rows that share a doc_id count as one document and
+Factors are longest where nothing is compared word by word: their bounds follow from the content, so that
+a factor can be looked up by its hash in all blocks at once. A greedy parse, which extends each factor
+word by word in one block's index, has to send each text to every block (figures: README).
+
+Defined cases: null and empty texts have no words; very long texts are read whole; of equal passages in
+one document, or in documents of one doc_id, none goes; rows that share a doc_id count as one document and
 remove nothing from each other; a null doc_id is taken as larger than all others and removes nothing;
 texts of under 13 words stay whole; extra columns of any name are kept by dedup_substrings().
 """
@@ -127,41 +134,57 @@ def _index(table: pa.Table) -> pa.Table:
 
 
 def _groups(kind: int):
-    """Streams rows sorted by the group (kind 0: a; kind 1: a and s); yields what concerns each block."""
-
-    def work(a, s, block, lo, hi):
-        pair = np.ones(len(a), bool)
-        pair[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
-        i = np.flatnonzero(pair)
-        low = np.minimum.reduceat(lo, i)[np.cumsum(pair) - 1]
-        more = np.zeros(len(a), bool)
-        if kind == 0:
-            top = np.ones(len(a), bool)
-            top[1:] = a[1:] != a[:-1]
-            k = np.flatnonzero(top)
-            more = (np.add.reduceat(pair.astype(np.int64), k) > 1)[np.cumsum(top) - 1]
-        use = (hi > low) | (more & (lo == low))
-        n = int(use.sum())
-        cols = [block[use], np.full(n, kind, np.int32), a[use], s[use], low[use], more[use]]
-        return _table(cols, _VERDICT).combine_chunks().to_batches()
+    """Streams rows sorted by (a, s, lo); yields what concerns each block, with the least lo of the pair (a, s).
+
+    kind 0 also says whether `a` has more than one s, kind 1 leaves that out. Of earlier batches only the
+    last pair, its least lo and the rows that wait for that answer are held: those of the first s of `a`
+    that have its least lo, one for each block that holds that document.
+    """
+
+    def out(block, a, s, low, more) -> list[pa.RecordBatch]:
+        return _table([block, np.full(len(a), kind, np.int32), a, s, low, more], _VERDICT).combine_chunks().to_batches()
+
+    def waiting(wait: list, more: bool) -> list[pa.RecordBatch]:
+        cols = [np.concatenate(c) for c in zip(*wait)]
+        if not more:  # alone, a row concerns its block only if later documents there have the pair too
+            cols = [c[cols[4] > cols[3]] for c in cols]
+        return out(*cols[:4], np.full(len(cols[0]), more)) if len(cols[0]) else []
 
     def run(batches):
-        held, rows = [], 0
+        at = pair = None  # the anchor and the s of the last row
+        low0 = 0
+        several = False  # whether the anchor is known to have more than one s
+        wait: list[tuple] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)))
-            rows += batch.num_rows
-            if rows < 300_000:
-                continue
-            cols = [np.concatenate(x) for x in zip(*held)]
-            same = cols[0] == cols[0][-1] if kind == 0 else (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
-            end = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if end:
-                yield from work(*(c[:end] for c in cols))
-            held, rows = [tuple(c[end:] for c in cols)], 0
-        if rows or held:
-            yield from work(*(np.concatenate(x) for x in zip(*held)))
+            a, s, block, lo, hi = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            n = len(a)
+            new_a = np.ones(n, bool)
+            new_a[1:] = a[1:] != a[:-1]
+            new_s = new_a.copy()
+            new_s[1:] |= s[1:] != s[:-1]
+            new_a[0] = at is None or a[0] != at
+            new_s[0] = new_a[0] or s[0] != pair
+            # anchors and pairs of this batch; number 0 goes on from the last batch
+            anchor, which = np.cumsum(new_a), np.cumsum(new_s)
+            first = np.flatnonzero(new_s)
+            low = np.concatenate([[low0], lo[first]])[which]
+            changes = np.bincount(anchor, weights=new_s & ~new_a, minlength=int(anchor[-1]) + 1) > 0
+            changes[0] |= several
+            more = changes[anchor]
+            if wait and (changes[0] or new_a.any()):
+                yield from waiting(wait, bool(changes[0]))
+                wait = []
+            open_ = (anchor == anchor[-1]) & ~more & (lo == low) if kind == 0 else np.zeros(n, bool)
+            use = ~open_ & ((hi > low) | (more & (lo == low) if kind == 0 else False))
+            if use.any():
+                yield from out(block[use], a[use], s[use], low[use], more[use] & (kind == 0))
+            if open_.any():
+                wait.append((block[open_], a[open_], s[open_], low[open_], hi[open_]))
+            at, pair, low0, several = a[-1], s[-1], low[-1], bool(more[-1])
+        if wait:
+            yield from waiting(wait, False)
 
     return run
 
@@ -258,12 +281,13 @@ def dedup_substrings(docs: DataFrame, *, block_rows: int = 500, keep_space: bool
     deal = F.pmod(F.xxhash64(docs["doc_id"], docs["text"]), F.lit(n))
     rest = [docs[c] for c in docs.columns if c != "text"]
     d = docs.select(deal.alias("block"), docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"), F.struct(*rest).alias("row"))
-    d = d.repartition(max(1, min(n, _parts(docs))), "block")
+    parts = max(1, min(n, max(_parts(docs), n // 16)))  # a task has 16 blocks at most on average
+    d = d.repartition(parts, "block")
     # all three passes take the same columns, so that one exchange of the texts serves them all
     index = d.groupBy("block").applyInArrow(_index, _INDEX)
-    spans = index.repartition("a").sortWithinPartitions("a", "s", "lo").mapInArrow(_groups(0), _VERDICT)
+    spans = index.repartition(parts, "a").sortWithinPartitions("a", "s", "lo").mapInArrow(_groups(0), _VERDICT)
     windows = d.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_boundaries, _INDEX)
-    single = windows.repartition("a", "s").sortWithinPartitions("a", "s", "lo").mapInArrow(_groups(1), _VERDICT)
+    single = windows.repartition(parts, "a", "s").sortWithinPartitions("a", "s", "lo").mapInArrow(_groups(1), _VERDICT)
     schema = T.StructType([d.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), SPANS, T.StructField("text", T.StringType())])
     out = d.groupBy("block").cogroup(spans.unionByName(single).groupBy("block")).applyInArrow(lambda t, v: _with_text(t, v, keep_space), schema)
     order = [F.col("text") if c == "text" else F.col("row")[c] for c in docs.columns]

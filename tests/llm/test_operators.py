@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,40 @@ def test_substring_can_keep_white_space(docs):
     assert seen
 
 
+def test_substring_groups_stream_hot_anchors():
+    r = np.random.default_rng(8)
+
+    def plain(rows, kind):
+        low, of = {}, defaultdict(set)
+        for a, s, _, lo, _ in rows:
+            low[a, s] = min(low.get((a, s), lo), lo)
+            of[a].add(s)
+        more = {a: kind == 0 and len(x) > 1 for a, x in of.items()}
+        return sorted((b, kind, a, s, low[a, s], more[a]) for a, s, b, lo, hi in rows if hi > low[a, s] or (more[a] and lo == low[a, s]))
+
+    def fed(rows, kind, size):
+        cols = [np.array(c, np.int64) for c in zip(*rows)]
+        for k in range(0, len(rows), size):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + size]) for c in cols], names=["a", "s", "block", "lo", "hi"])
+
+    for _ in range(200):
+        n = int(r.integers(1, 40))
+        rows = sorted((int(a), int(s), int(b), int(lo), int(lo + up)) for a, s, b, lo, up in zip(r.integers(0, 4, n), r.integers(0, 3, n), r.permutation(n), r.integers(0, 4, n), r.integers(0, 2, n)))
+        rows.sort(key=lambda x: (x[0], x[1], x[3]))
+        for kind in (0, 1):
+            for size in (1, 3, 100):
+                got = [tuple(x.values()) for b in substring._groups(kind)(fed(rows, kind, size)) for x in b.to_pylist()]
+                want = plain(rows, kind)
+                loose = lambda rs: sorted(x[:5] for x in rs)
+                assert loose(got) == loose(want)
+                # what a block asks of `more` is asked of the rows that hold the least document
+                least = {(a, s, b) for a, s, b, lo, _ in rows if lo == min(x[3] for x in rows if x[:2] == (a, s))}
+                assert sorted(x for x in got if (x[2], x[3], x[0]) in least) == sorted(x for x in want if (x[2], x[3], x[0]) in least)
+    one = ((0, k, k, k, k) for k in range(500_000))
+    out = list(substring._groups(0)(fed(list(one), 0, 10_000)))
+    assert sum(b.num_rows for b in out) == 500_000 and max(b.num_rows for b in out) <= 10_000
+
+
 def test_substring_empty(spark, docs):
     assert substring.dedup_substrings(docs.limit(0)).count() == 0
 

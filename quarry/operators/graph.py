@@ -88,6 +88,13 @@ def schema_triples(edges: DataFrame, nodes: DataFrame, top: int = 40) -> DataFra
     return t.orderBy(F.desc("n"), "src_type", "rel", "dst_type").limit(top)
 
 
+def pattern(edges: DataFrame, nodes: DataFrame, src_type: str | None = None, rel: str | None = None, dst_type: str | None = None) -> DataFrame:
+    """(src, rel, dst) by name of the edges of one typed step; None stands for any type or relation."""
+    typed = lambda t, end: (nodes if t is None else nodes.where(F.col("type") == t)).select(F.col("id").alias(end), F.col("name").alias(end + "_name"))
+    e = edges if rel is None else edges.where(F.col("rel") == rel)
+    return e.join(typed(src_type, "src"), "src").join(typed(dst_type, "dst"), "dst").select(F.col("src_name").alias("src"), "rel", F.col("dst_name").alias("dst"))
+
+
 def per_page(entities: DataFrame) -> DataFrame:
     """(page, entities)"""
     return entities.select("id", F.explode("source_pages").alias("page")).groupBy("page").agg(F.count_distinct("id").alias("entities"))
@@ -153,7 +160,7 @@ def paths(edges: DataFrame, seeds: DataFrame, depth: int = 3, most: int = 60) ->
 
 def khop_counts(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(id, hop1, hop2): distinct nodes within one and within two undirected steps of each root."""
-    e = ends(edges).distinct()
+    e = ends(edges)  # joined from the few roots on, so that only touched edges are made distinct
     one = roots.select(F.col("id").alias("root")).join(e, F.col("root") == e["id"]).select("root", F.col("other").alias("x")).distinct()
     two = one.join(e, F.col("x") == e["id"]).select("root", F.col("other").alias("x")).distinct()
     n1 = one.where("x <> root").groupBy("root").agg(F.count("*").alias("hop1"))

@@ -174,6 +174,24 @@ def restamp_pages(e: DataFrame, chunks: DataFrame) -> DataFrame:
     return e.drop("source_pages").join(p.groupBy("id").agg(F.array_sort(F.collect_set("p")).alias("source_pages")), "id", "left")
 
 
+def extractable(chunks: DataFrame, least: int = 30) -> DataFrame:
+    """Chunks with at least so many characters besides the white space around them."""
+    return chunks.where(F.char_length(F.btrim("text", F.lit(" \t\n\v\f\r"))) >= least)
+
+
+def repeated(df: DataFrame, key: str) -> DataFrame:
+    """(key, n) of values that a uniqueness constraint on the column would reject."""
+    return df.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def detach_delete(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) without the nodes of ids (id) and without any edge at one of them."""
+    left = nodes.join(ids, "id", "left_anti")
+    for end in ("src", "dst"):
+        edges = edges.join(ids.select(F.col("id").alias(end)), end, "left_anti")
+    return left, edges
+
+
 def check(df: DataFrame, **conditions: Column) -> DataFrame:
     """(name, failures) of row conditions that must hold."""
     counts = df.agg(*(F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in conditions.items()))

@@ -102,6 +102,21 @@ def neighbour_context(kw: DataFrame, nodes: DataFrame, edges: DataFrame, cap: in
     return ranked(d, ["qid"], "id", F.col("rel").asc_nulls_last(), F.col("dst").asc_nulls_last(), most=cap).select("qid", "rank", "line")
 
 
+def with_fallback(found: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Found (qid, ...), and for questions without any row there the rows of fallback; adds `fallback`."""
+    rest = fallback.join(found.select("qid").distinct(), "qid", "left_anti")
+    return found.withColumn("fallback", F.lit(False)).unionByName(rest.withColumn("fallback", F.lit(True)))
+
+
+def best_coverage(questions: DataFrame, pages: DataFrame) -> DataFrame:
+    """(qid, id, coverage, contained): the page (id, text) with most of a question's tokens of three
+    characters or more (then the least id), their share, and whether it has all of them."""
+    q = questions.select("qid", F.array_distinct(tokens("question", 3)).alias("w")).where(F.size("w") > 0)
+    n = token_overlap(questions, pages).join(q.select("qid", F.size("w").alias("n")), "qid")
+    d = n.select("qid", "id", (F.col("overlap") / F.col("n")).alias("coverage"), (F.col("overlap") == F.col("n")).alias("contained"))
+    return ranked(d, ["qid"], F.desc("coverage"), "id", most=1).drop("rank")
+
+
 def spread(df: DataFrame, per_page: int = 2, most: int = 12) -> DataFrame:
     """Of (qid, page, id, score), at most per_page of a page and then the best `most`."""
     d = ranked(df, ["qid", "page"], F.desc("score"), "id", most=per_page, name="of_page")

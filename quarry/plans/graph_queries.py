@@ -150,10 +150,11 @@ def density(spark, d) -> DataFrame:
     return graph.density(edges(spark, d), nodes(spark, d)).select(F.col("nodes").cast("long"), F.col("edges").cast("long"), "density")
 
 
-@query(f"WITH {_DEG} SELECT id FROM dg WHERE degree = 0")
+@query(f"WITH {_EDGES}, n AS (SELECT 's' || s_suppkey AS id FROM supplier UNION ALL SELECT 'c' || c_custkey FROM customer) SELECT id FROM n WHERE id NOT IN (SELECT src FROM e UNION SELECT dst FROM e)")
 def isolated(spark, d) -> DataFrame:
-    """J13"""
-    return graph.isolated(nodes(spark, d), edges(spark, d)).select("id")
+    """Suppliers and customers that no supply edge touches"""
+    n = nodes(spark, d).where("type = 'Supplier'").select("id").unionByName(table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id")))
+    return graph.isolated(n, edges(spark, d)).select("id")
 
 
 @query("SELECT p_type AS type, count(*) AS n FROM part GROUP BY p_type")
@@ -201,14 +202,13 @@ def component_stats(spark, d) -> DataFrame:
     return component_summary(component_sizes(e, nodes(spark, d)))
 
 
-_TRADE = "t AS (SELECT DISTINCT c.c_nationkey AS src, substr(o.o_orderpriority, 3) AS rel, s.s_nationkey AS dst FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = l.l_suppkey WHERE l.l_shipdate >= TIMESTAMP '2001-01-01' AND o.o_orderpriority IN ('1-URGENT', '2-HIGH'))"
+_TRADE = "t AS (SELECT DISTINCT c.c_nationkey AS src, substr(o.o_orderpriority, 3) AS rel, s.s_nationkey AS dst FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = l.l_suppkey)"
 
 
 @query(f"WITH {_TRADE} SELECT x.src AS a, x.dst AS b, x.rel AS rel_ab, y.rel AS rel_ba FROM t x JOIN t y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst")
 def reverse_edges(spark, d) -> DataFrame:
     """Nations that buy from each other"""
-    o = table(spark, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
-    l = table(spark, d, "lineitem").where("l_shipdate >= timestamp '2001-01-01'")
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
     j = l.join(o, l.l_orderkey == o.o_orderkey).join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     e = j.select(F.col("c_nationkey").alias("src"), F.expr("substring(o_orderpriority, 3)").alias("rel"), F.col("s_nationkey").alias("dst")).distinct()
     return graph.reverse_edges(e)
@@ -265,14 +265,14 @@ def pages_per_entity(spark, d) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT doc_id AS page, n_chars AS text_len FROM documents), c AS (SELECT doc_id AS page, count(*) AS n FROM labels GROUP BY 1), e AS (SELECT conv_id AS page, count(*) AS n FROM conversations GROUP BY 1),
-r AS (SELECT item_id AS page, count(*) AS n FROM benchmark GROUP BY 1), v AS (SELECT vec_id AS page, count(*) AS n FROM embeddings WHERE label < 2 GROUP BY 1),
+r AS (SELECT item_id AS page, count(*) AS n FROM benchmark GROUP BY 1), v AS (SELECT vec_id AS page, count(*) AS n FROM embeddings GROUP BY 1),
 j AS (SELECT page, text_len, coalesce(c.n, 0) AS chunks, coalesce(e.n, 0) AS entities, coalesce(r.n, 0) AS relationships, coalesce(v.n, 0) AS nodes FROM p LEFT JOIN c USING (page) LEFT JOIN e USING (page) LEFT JOIN r USING (page) LEFT JOIN v USING (page))
 SELECT *, CASE WHEN nodes > 0 THEN 'LINKED' WHEN chunks = 0 THEN 'H1' WHEN entities = 0 AND relationships = 0 THEN 'H2' ELSE 'H3' END AS status FROM j""")
 def coverage_status(spark, d) -> DataFrame:
     """A17, D3, with other tables' ids standing in for what covers a page"""
     p = table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.col("n_chars").alias("text_len"))
     k = lambda t, c: table(spark, d, t).select(F.col(c).alias("page"))
-    return graph.coverage(p, k("labels", "doc_id"), k("conversations", "conv_id"), k("benchmark", "item_id"), table(spark, d, "embeddings").where("label < 2").select(F.col("vec_id").alias("page")))
+    return graph.coverage(p, k("labels", "doc_id"), k("conversations", "conv_id"), k("benchmark", "item_id"), table(spark, d, "embeddings").select(F.col("vec_id").alias("page")))
 
 
 @query("""WITH k AS (SELECT p_size AS qid, low, row_number() OVER (PARTITION BY p_size ORDER BY m, low) AS r FROM (SELECT p_size, string_split(p_name, ' ')[1] AS low, min(p_partkey) AS m FROM part GROUP BY ALL)),
@@ -293,7 +293,7 @@ def terms(spark, d) -> DataFrame:
     """Entities of the flagship query: capitalised words of five letters or more of benchmark passages."""
     w = table(spark, d, "benchmark").select("item_id", "text", F.explode(F.regexp_extract_all("text", F.lit(r"(?:^|[^A-Za-z\p{L}])([A-Z][a-z]{4,})(?![a-z\p{L}])"), F.lit(1))).alias("w"))
     return w.groupBy("w").agg(F.min_by("text", "item_id").alias("text"), F.count("*").alias("n")).select(
-        F.col("w").alias("id"), F.col("w").alias("name"), F.lit("Term").alias("type"), F.array().cast("array<string>").alias("aliases"), F.substring("text", 1, 80).alias("source_text"), "n"
+        F.col("w").alias("id"), F.col("w").alias("name"), F.lit("Term").alias("type"), F.array().cast("array<string>").alias("aliases"), F.col("text").alias("source_text"), "n"
     )
 
 

@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(page, text) of a JSON array of pages; pages without text go."""
-    return spark.read.schema("page int, text string").json(path, multiLine=True).where("text is not null and text <> ''")
+    return spark.read.schema("page int, text string").option("recursiveFileLookup", "true").json(path, multiLine=True).where("text is not null and text <> ''")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -46,13 +46,13 @@ def _fields(ddl: str) -> list[str]:
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """(id, category, question, ground_truth); difficulty and answer are other names of two of these."""
-    q = spark.read.schema("id int, category string, difficulty string, question string, ground_truth string, answer string").json(path, multiLine=True)
+    q = spark.read.schema("id int, category string, difficulty string, question string, ground_truth string, answer string").option("recursiveFileLookup", "true").json(path, multiLine=True)
     return q.select("id", F.coalesce("category", "difficulty").alias("category"), "question", F.coalesce("ground_truth", "answer").alias("ground_truth"))
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Chunks whose text goes by any of four names."""
-    c = spark.read.schema("chunk_id int, text string, content string, chunk_text string, text_preview string, page_start int, page_end int, section_title string, char_count int").json(path, multiLine=True)
+    c = spark.read.schema("chunk_id int, text string, content string, chunk_text string, text_preview string, page_start int, page_end int, section_title string, char_count int").option("recursiveFileLookup", "true").json(path, multiLine=True)
     return c.select("chunk_id", F.coalesce("text", "content", "chunk_text", "text_preview").alias("text"), "page_start", "page_end", "section_title", "char_count")
 
 
@@ -96,6 +96,22 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, wrap: str | None = None, rows: int = 10_000) -> None:
+    """Files of one JSON array of at most about `rows` rows each; wrap names the field of an object around it."""
+    many = max(1, -(-df.count() // rows))
+    dealt = df.select(F.struct(*df.columns).alias("row"), F.pmod(F.xxhash64(*df.columns[:1]), F.lit(many)).alias("b"))
+    rows_ = dealt.groupBy("b").agg(F.collect_list("row").alias(wrap or "rows"))
+    body = F.to_json(F.struct(wrap)) if wrap else F.to_json("rows")
+    rows_.repartition(many, "b").select("b", body.alias("value")).write.mode("overwrite").partitionBy("b").text(path)
+
+
+def read_graph_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """(id, name, type, page) of the nodes of a graph file of the other dialect: typed, with properties."""
+    schema = "nodes array<struct<id:string, type:string, properties:struct<name:string, page:int>>>"
+    g = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path, multiLine=True)
+    return g.select(F.explode("nodes").alias("n")).select("n.id", "n.properties.name", "n.type", "n.properties.page")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Quoted CSV; nested columns as JSON."""
     flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f.name) for f in df.schema]
@@ -111,3 +127,10 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def write_vectors(df: DataFrame, path: str, parts: int) -> None:
     """Vectors as parquet in parts by id, so that blocks of ids are read together."""
     df.repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id").write.mode("overwrite").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Vectors of a store, or those of a range of ids, whose bounds reach the scan."""
+    v = spark.read.parquet(path)
+    v = v if first is None else v.where(F.col("vec_id") >= first)
+    return v if last is None else v.where(F.col("vec_id") <= last)

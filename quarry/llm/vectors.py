@@ -2,9 +2,17 @@
 
 Equal vectors form one class. In each pass the classes are ordered lexicographically by concatenated
 random hyperplane hashes and each is compared, in double precision, with its neighbours in a bounded
-window of that order; the pairs that reach the threshold are united across all passes. What bounded
-windows miss is then made whole: all pairs of classes are compared in blocks, which is quadratic, so
-that links and components are exact at any density; of the links only spanning forests are emitted.
+window of that order, over the bounds of tasks too. Pairs that reach NEAR, which is less than the
+window of that order, over the bounds of tasks too. Pairs that reach NEAR, which is less than the
+threshold, are united across all passes into groups, so that a dense crowd below the threshold is one
+group. Then pairs are compared in blocks, so that links and n_links are exact, and only spanning trees of
+the links are emitted: with exact=False the pairs within each group, which costs the square of a group's
+size and misses what no pass brought together; by default those of all classes, whatever the windows
+saw, which costs the square of their number and loses nothing.
+
+The number of passes follows from the number of classes: two vectors at the threshold meet in a window
+if they share about log2(classes / window) leading bits, and there are passes enough that a pair with
+nothing else near it is missed once in 1 / MISS times (measured: README).
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing; vectors of another dimension are compared only with their like; rows that repeat are vectors
@@ -21,10 +29,16 @@ from pyspark.sql import functions as F
 
 from quarry.llm.shared import components, cut, forest
 
-THRESHOLD, PASSES, WINDOW, BITS, BLOCK = 0.95, 24, 16, 48, 1024
-SPAN, STRIP = 8192, 256  # vectors of a block of the exact comparison, and of its products
+THRESHOLD, NEAR, MISS, WINDOW, BITS = 0.95, 0.8, 1e-3, 24, 48
+BLOCK, SPAN = 512, 8192  # vectors of a block of a group, and of all classes
 LAST = 2**63 - 1
-_PAIRS = "u long, v long"
+
+
+def passes_for(n: int, *, threshold: float = THRESHOLD, window: int = WINDOW, miss: float = MISS) -> int:
+    """Passes after which a lone pair at the threshold among n vectors is missed with probability `miss`."""
+    same = 1 - np.arccos(threshold) / np.pi  # how often two such vectors lie on one side of a plane
+    met = same ** max(0.0, np.log2(max(1, n) / window))
+    return int(np.ceil(np.log(miss) / np.log1p(-min(met, 0.9))))
 
 
 def _unit(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -69,41 +83,52 @@ def _project(passes: int, bits: int, seed: int):
     return run
 
 
-def _neighbours(window: int, threshold: float):
-    """Streams rows in the order of a pass; yields spanning edges of the pairs that reach the threshold."""
+def _neighbours(window: int, threshold: float, kind: pa.DataType):
+    """Streams rows in the order of a pass; yields spanning edges (u, v) of the pairs that reach the
+    threshold and, with null ends, the task's first and last `window` rows, for pairs over its bounds."""
+    names = ["dim", "pass", "key", "rep", "v"]
+
+    def edges(us, vs) -> pa.RecordBatch:
+        u, v = forest(np.concatenate(us), np.concatenate(vs))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *(pa.nulls(len(u), t) for t in (*(pa.int64(),) * 4, kind))], names=["a", "b", *names])
+
+    def ends(table: pa.Table) -> list[pa.RecordBatch]:
+        none = pa.nulls(table.num_rows, pa.int64())
+        return pa.table([none, none, *(table.column(n).cast(kind if n == "v" else pa.int64()) for n in names)], names=["a", "b", *names]).combine_chunks().to_batches()
 
     def run(batches):
-        held = None
+        held, seen = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table]).combine_chunks()
+            new = pa.Table.from_batches([batch])
+            if seen < window:
+                yield from ends(new.slice(0, window - seen))
+            seen += batch.num_rows
+            table = new if held is None else pa.concat_tables([held, new]).combine_chunks()
             cols = [table.column(n).combine_chunks() for n in ("dim", "pass", "rep", "v")]
             dim, which, rep = (c.to_numpy(zero_copy_only=False) for c in cols[:3])
-            us, vs = [], []
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for rows, x in _unit(cols[3]):
                 for d in range(1, window + 1):
                     if len(rows) <= d:
                         break
                     a, b = rows[:-d], rows[d:]
                     ok = (b - a == d) & (which[a] == which[b]) & (dim[a] == dim[b])
-                    cos = np.einsum("ij,ij->i", x[:-d], x[d:])
-                    ok &= cos >= threshold
+                    ok &= np.einsum("ij,ij->i", x[:-d], x[d:]) >= threshold
                     us.append(rep[a[ok]])
                     vs.append(rep[b[ok]])
-            u, v = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (us, vs))
-            if len(u):
-                x, y = forest(u, v)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["u", "v"])
+            if sum(map(len, us)):
+                yield edges(us, vs)
             held = table.slice(max(0, table.num_rows - window))
+        if held is not None and seen > window:
+            yield from ends(held.slice(max(0, held.num_rows - (seen - window))))
 
     return run
 
 
 def _count(threshold: float):
-    """Streams rows sorted by (i, j); yields for each class the rows it is linked with, and spanning edges (rep, to)."""
+    """Streams rows sorted by (g, i, j); yields for each class the rows it is linked with, and spanning edges (rep, to)."""
 
     def one(table: pa.Table):
         b, rep, n = (table.column(c).to_numpy() for c in ("b", "rep", "n"))
@@ -113,12 +138,12 @@ def _count(threshold: float):
         for rows, x in _unit(table.column("v").combine_chunks()):
             left, right = rows[b[rows] == i], rows[b[rows] == j]
             y, z = x[b[rows] == i], x[b[rows] == j]
-            for k in range(0, len(left), STRIP):
-                near = y[k : k + STRIP] @ z.T >= threshold
+            for k in range(0, len(left), BLOCK):
+                near = y[k : k + BLOCK] @ z.T >= threshold
                 p, q = np.nonzero(near)
                 if not len(p):
                     continue
-                here = left[k : k + STRIP]
+                here = left[k : k + BLOCK]
                 np.add.at(total, here[p], n[right[q]])
                 if i != j:
                     np.add.at(total, right[q], n[here[p]])
@@ -137,7 +162,7 @@ def _count(threshold: float):
             table = pa.Table.from_batches([batch])
             if held is not None:
                 table = pa.concat_tables([held, table])
-            keys = [table.column(c).to_numpy() for c in ("i", "j")]
+            keys = [table.column(c).to_numpy() for c in ("g", "i", "j")]
             if not len(keys[0]):
                 continue
             new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
@@ -151,7 +176,7 @@ def _count(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, bits: int = BITS, seed: int = 7) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, near: float = NEAR, passes: int | None = None, window: int = WINDOW, bits: int = BITS, seed: int = 7, exact: bool = True) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding)."""
     v = F.col("v")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -161,16 +186,30 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, passes:
     # several vectors can share an id, so classes have node numbers of their own, fixed by the checkpoint
     classes = valid.groupBy("v").agg(F.coalesce(F.min("vec_id"), F.lit(LAST)).alias("first"), F.count("*").alias("n"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("rep"), "v", "first", "n"))
-    kind = classes.schema["v"].dataType.simpleString()
-    keyed = classes.select("rep", "v").mapInArrow(_project(passes, bits, seed), f"dim long, pass long, key long, rep long, v {kind}")
+    kind = classes.schema["v"].dataType
+    passes = passes or passes_for(classes.count(), threshold=threshold, window=window)
+    shape = f"dim long, pass long, key long, rep long, v {kind.simpleString()}"
+    keyed = classes.select("rep", "v").mapInArrow(_project(passes, bits, seed), shape)
     order = ["dim", "pass", "key", "rep"]
-    edges = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(window, threshold), _PAIRS)
-    nb = max(1, -(-classes.count() // SPAN))
-    m = classes.withColumn("b", F.pmod(F.xxhash64("rep"), F.lit(nb).cast("long"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))))
-    m = m.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "n", "v")
-    found = cut(m.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(_count(threshold), "rep long, linked long, to long"))
+    arrow = pa.list_(pa.float64() if "double" in kind.simpleString() else pa.float32())
+    compare = _neighbours(window, threshold if exact else min(near, threshold), arrow)
+    met = cut(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, f"a long, b long, {shape}"))
+    # the ends of all tasks in one: a few dozen rows for each
+    over = met.where("a is null").select(*order, "v").coalesce(1).sortWithinPartitions(*order).mapInArrow(compare, f"a long, b long, {shape}")
+    pairs = met.unionByName(over).where("a is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if exact:
+        spans = max(1, -(-classes.count() // SPAN))
+        m = classes.select("rep", "n", "v", F.lit(0).cast("long").alias("g"), F.lit(spans).cast("long").alias("k"))
+    else:
+        group = cut(components(pairs)).select(F.col("id").alias("rep"), F.col("component").alias("g"))
+        blocks = group.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("k"))
+        m = classes.join(group.join(blocks, "g"), "rep")
+    m = m.withColumn("b", F.pmod(F.xxhash64("rep"), F.col("k"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    m = m.select("g", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "n", "v")
+    found = cut(m.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_count(threshold), "rep long, linked long, to long"))
     linked = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
-    comp = cut(components(edges.unionByName(found.select(F.col("rep").alias("u"), F.col("to").alias("v")))))
+    links = found.select(F.col("rep").alias("u"), F.col("to").alias("v"))
+    comp = cut(components(pairs.unionByName(links) if exact else links))
     facts = classes.join(linked, "rep", "left").join(comp, classes.rep == comp.id, "left").withColumn("c", F.coalesce("component", "rep"))
     names = facts.groupBy("c").agg(F.min("first").alias("low"))
     facts = facts.join(names, "c").select(F.col("v").alias("_v"), (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.when(F.col("low") < LAST, F.col("low")).alias("component_id"))

@@ -25,3 +25,43 @@ def test_sparse_links_of_a_dense_group_are_exact(spark, monkeypatch):
     for k, g in enumerate(label):
         low.setdefault(g, k)
     assert [(k, n, g) for k, n, g, _ in got] == [(k, int(near[k].sum()), low[g]) for k, g in enumerate(label)]
+
+
+def test_passes_grow_with_the_rows():
+    got = [vectors.passes_for(10**e) for e in range(1, 11)]
+    assert got == sorted(got) and got[-1] < 20 * got[3]
+    for n in (1 << 16, 1 << 24):
+        assert abs(vectors.passes_for(n - 1) - vectors.passes_for(n + 1)) <= 1
+
+
+def test_bounds_of_tasks_lose_nothing(spark):
+    """Pairs that are next to each other in the one pass are found however its rows are dealt out."""
+    r = np.random.default_rng(9)
+    x = r.standard_normal((400, 8))
+    x[200:] = x[:200] + 0.01 * r.standard_normal((200, 8))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    outs = []
+    try:
+        for parts in ("1", "37"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            outs.append(sorted(map(tuple, vectors.near_duplicates(df, passes=2, window=4, exact=False).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert outs[0] == outs[1]
+
+
+def test_groups_alone_find_what_lies_in_a_dense_crowd(spark):
+    r = np.random.default_rng(8)
+    c = r.standard_normal(64)
+    x = r.standard_normal((1200, 64))
+    x[:600] = c / np.linalg.norm(c) + 0.4 * r.standard_normal((600, 64)) / 8
+    x[500:600] = x[:100] + 0.2 * r.standard_normal((100, 64)) / 8
+    x[1100:] = x[1000:1100] + 0.2 * r.standard_normal((100, 64))
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (y @ y.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {k: n for k, n, *_ in vectors.near_duplicates(df, exact=False).collect()}
+    assert near[:600, :600].sum() > 50 and near[1000:].sum() > 50
+    assert all(got[k] == near[k].sum() for k in range(600))
+    assert sum(got.values()) >= 0.98 * near.sum() and all(got[k] <= near[k].sum() for k in range(len(x)))

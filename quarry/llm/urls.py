@@ -10,7 +10,7 @@ A page's labelled outcome is the row of `labels` with its id: good means quality
 
 Defined cases: a null url or one without :// has an empty host and path and meets the empty host's
 reputation; labels that repeat count as often as they come, null labels don't count; without any
-label every host is let through; rows that repeat get the same verdict; other columns are not read.
+label every host is let through; a very long url without a host is one url of the empty host; rows that repeat get the same verdict; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.shared import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Second-level labels under which names are registered in country domains.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
@@ -85,7 +87,7 @@ def reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
     seen = seen.groupBy("page_id").agg(F.count("*").alias("n"), F.sum("good").alias("y"))
     domain, suffix = domain_and_suffix(F.col("host"))
     hosts = pages.join(seen, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("y"))
-    hosts = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "y")
+    hosts = cut(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "y"))  # read by every level above
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     share, ks = concentration(suffixes)

@@ -361,3 +361,31 @@ def test_toxicity_learns(spark, docs):
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out if r["doc_id"] is not None)
     nothing = toxicity.fit(d.limit(0), labels)
     assert d.select(toxicity.score(F.col("text"), nothing)).count() == d.count()
+
+
+def test_toxicity_scores_match_a_plain_version():
+    import zstandard
+
+    r = np.random.default_rng(6)
+    vocabulary = ["the", "of", "and", "house", "river", "Straße", "été", "x" * 70_000, "word-mark!", "a"]
+    texts = [" ".join(r.choice(vocabulary, r.integers(0, 40))) + t + str(r.choice(["", "vilewretch", "Vilewretch.", "scumword vilewretch"])) for t in (" ", "\n", "\t ", "") for _ in range(80)]
+    label = [int("wretch" in t.lower()) for t in texts]
+    model = toxicity.train(texts, label)
+
+    def saved(word):
+        out = []
+        for content in (model.ordinary, model.toxic):
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            p = zstandard.ZstdCompressionParameters.from_level(model.level, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS, min_match=4)
+            out.append(len(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress(toxicity.LEAD + b" " + word + b" " + toxicity.TAIL)))
+        return out[0] - out[1]
+
+    known = {}
+    want = []
+    for t in [*texts, None, ""]:
+        got = sorted((known.setdefault(w, saved(w.translate(brute.LOWER).encode())) for w in brute.words(t)), reverse=True)
+        x = [1.0, min(got[0], 9) if got else 0, min(max(got[1], 0), 9) if len(got) > 1 else 0, math.log1p(sum(g >= model.threshold for g in got)), math.log1p(len(got))]
+        want.append(1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights)))))
+    x = toxicity.features_of(pa.array([*texts, None, ""]), toxicity.Savings(model), model.threshold)
+    assert np.allclose(1 / (1 + np.exp(-x @ np.array(model.weights))), want)
+    assert np.mean((np.array(want[:-2]) >= 0.5) == np.array(label)) > 0.95

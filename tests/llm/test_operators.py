@@ -201,7 +201,7 @@ def test_mixing_hits_targets(docs, rows):
             taken[g["source"]] += g["taken"]
         for s in size:
             assert abs(taken[s] - want[s]) <= 32 + 8 * (size[s] // 500 + 1), s
-    assert Counter(g["doc_id"] for g in got) == Counter(r[0] for r in rows)
+    assert Counter(g["id"] for g in got) == Counter(r[0] for r in rows)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     assert mixed.select(F.sum(mixing.word_count(F.col("text")))).first()[0] == mixing.allot(slim, slim).agg(F.sum("taken")).first()[0]

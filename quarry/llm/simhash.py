@@ -6,7 +6,8 @@ fingerprints within the radius are within t_i of each other in some partition. C
 bucket there (the partition's value with t_i bits masked) and are verified on all 64 bits, so no link is
 lost whatever thresholds are chosen. Partitions and thresholds are those of the least cost, which is
 made of the rows that the masks deal out and of the candidates that all fingerprints lead one to
-expect; it has no switch by size, so one more row never makes the work jump.
+expect; where one number of partitions gives way to the next, rows rise as candidates fall, so the cost
+is continuous though the rows are not.
 
 near_duplicates() links fingerprints of three-word shingles within the radius. similar() makes the same
 search over fingerprints of the distinct words, which move less when a text is edited, with a wider

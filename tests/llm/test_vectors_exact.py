@@ -19,7 +19,7 @@ def test_sparse_links_of_a_dense_group_are_exact(spark, monkeypatch):
     near = (y @ y.T >= 0.95) & ~np.eye(len(x), dtype=bool)
     assert near.any() and 0.84 < np.median(y @ y.T) < 0.9
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = sorted(vectors.near_duplicates(df, passes=1, window=1).collect())
+    got = sorted(vectors.near_duplicates(df, passes=1, window=1, exact=True).collect())
     label = brute.groups(list(range(len(x))), lambda a, b: bool(near[a, b]))
     low = {}
     for k, g in enumerate(label):
@@ -45,7 +45,7 @@ def test_bounds_of_tasks_lose_nothing(spark):
     try:
         for parts in ("1", "37"):
             spark.conf.set("spark.sql.shuffle.partitions", parts)
-            outs.append(sorted(map(tuple, vectors.near_duplicates(df, passes=2, window=4, exact=False).collect())))
+            outs.append(sorted(map(tuple, vectors.near_duplicates(df, passes=2, window=4).collect())))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert outs[0] == outs[1]
@@ -61,7 +61,9 @@ def test_groups_alone_find_what_lies_in_a_dense_crowd(spark):
     y = x / np.linalg.norm(x, axis=1)[:, None]
     near = (y @ y.T >= 0.95) & ~np.eye(len(x), dtype=bool)
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {k: n for k, n, *_ in vectors.near_duplicates(df, exact=False).collect()}
+    got = {k: n for k, n, *_ in vectors.near_duplicates(df).collect()}
     assert near[:600, :600].sum() > 50 and near[1000:].sum() > 50
     assert all(got[k] == near[k].sum() for k in range(600))
+    full = {k: n for k, n, *_ in vectors.near_duplicates(df, exact=True).collect()}
+    assert all(full[k] == near[k].sum() for k in range(len(x)))
     assert sum(got.values()) >= 0.98 * near.sum() and all(got[k] <= near[k].sum() for k in range(len(x)))

@@ -16,7 +16,8 @@ CROSS = "-cross-chunk"
 
 
 def _union(c: str) -> Column:
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    """All elements of arrays; equal arrays are one before they are dealt out."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
 
 
 def _longest(c: str) -> Column:
@@ -27,16 +28,16 @@ def _longest(c: str) -> Column:
 def _evidence() -> Column:
     """Values in order, each appended on a line of its own unless what is there has it as a substring."""
     rows = F.array_sort(F.collect_list(F.struct("ord", F.col("evidence").alias("e"))))
-    add = lambda s, r: F.when(F.coalesce(r["e"], F.lit("")) == "", s).when(s == "", r["e"]).when(F.contains(s, r["e"]), s).otherwise(F.concat(s, F.lit("\n"), r["e"]))
-    return F.nullif(F.aggregate(rows, F.lit(""), add), F.lit(""))
+    add = lambda s, r: F.when(s == "", r["e"]).when(F.contains(s, r["e"]), s).otherwise(F.concat(s, F.lit("\n"), r["e"]))
+    return F.nullif(F.aggregate(F.filter(rows, lambda r: r["e"] != ""), F.lit(""), add), F.lit(""))
 
 
-def _last_wins(c: str) -> Column:
-    """Maps merged in order, a later value of a key replacing an earlier one."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.map_entries(c).alias("m")))), lambda r: r["m"])
-    keep = lambda s, e: F.concat(F.filter(s, lambda x: x["key"] != e["key"]), F.array(e))
-    flat = F.flatten(rows)
-    return F.map_from_entries(F.aggregate(flat, F.slice(flat, 1, 0), keep))
+def _attributes(e: DataFrame) -> DataFrame:
+    """(id, attributes): maps merged in order, a later value of a key replacing an earlier one; keys as last written."""
+    flat = e.select("id", "ord", F.posexplode(F.map_entries("attributes")).alias("k", "m")).select("id", F.col("m.key").alias("key"), F.col("m.value").alias("value"), F.struct("ord", "k").alias("at"))
+    last = flat.groupBy("id", "key").agg(F.max_by("value", "at").alias("value"), F.max("at").alias("at"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("at", "key", "value"))), lambda x: F.struct(x["key"], x["value"]))
+    return last.groupBy("id").agg(F.map_from_entries(entries).alias("attributes"))
 
 
 def entities_of(raw: DataFrame) -> DataFrame:
@@ -77,18 +78,32 @@ def relationships_of(raw: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def _provenance() -> list[Column]:
-    return [_union("source_pages").alias("source_pages"), _union("source_chunks").alias("source_chunks"), F.sum("frequency").alias("frequency"), F.max("confidence").alias("confidence"), _longest("description").alias("description"), _evidence().alias("evidence"), F.min("ord").alias("ord")]
+    return [_union("source_pages").alias("source_pages"), _union("source_chunks").alias("source_chunks"), F.sum("frequency").alias("frequency"), F.max("confidence").alias("confidence")]
+
+
+def _merged(d: DataFrame, keys: list[str], first: list[str] = (), arrays: list[str] = ()) -> DataFrame:
+    """One row for each of the keys, in two steps: records of equal evidence first, so that a key with very
+    many records is dealt out by its evidence and the last step folds every text once."""
+    best = F.struct(F.char_length(F.coalesce("description", F.lit(""))).alias("n"), (-F.col("ord")).alias("o"), F.col("description").alias("d"))
+    own = [F.struct("ord", *(F.col(c) for c in first)).alias("_first")] if first else []
+    p = d.select("*", best.alias("_best"), *own)
+    lists = [_union(c).alias(c) for c in arrays]
+    ends = [F.max("_best").alias("_best"), *([F.min("_first").alias("_first")] if first else [])]
+    p = p.groupBy(*keys, F.nullif("evidence", F.lit("")).alias("evidence")).agg(*lists, *_provenance(), *ends, F.min("ord").alias("ord"))
+    g = p.groupBy(*keys).agg(*lists, *_provenance(), *ends, _evidence().alias("evidence"), F.min("ord").alias("ord"))
+    return g.select(*keys, *(F.col("_first")[c].alias(c) for c in first), *arrays, "source_pages", "source_chunks", "frequency", "confidence", F.col("_best.d").alias("description"), "evidence", "ord")
 
 
 def merge_entities(e: DataFrame) -> DataFrame:
     """A1: one entity per id."""
-    first = [F.min_by(c, "ord").alias(c) for c in ("canonical_name", "name", "type")]
-    return e.groupBy("id").agg(*first, _union("aliases").alias("aliases"), _last_wins("attributes").alias("attributes"), *_provenance())
+    g = _merged(e, ["id"], ["canonical_name", "name", "type"], ["aliases"])
+    d = g.join(_attributes(e), "id", "left").withColumn("attributes", F.coalesce("attributes", F.create_map().cast("map<string,string>")))
+    return d.select("id", "canonical_name", "name", "type", "aliases", "attributes", "source_pages", "source_chunks", "frequency", "confidence", "description", "evidence", "ord")
 
 
 def merge_relationships(r: DataFrame) -> DataFrame:
     """A2: one relationship per (source, relation, target)."""
-    return r.groupBy("source", "relation", "target").agg(*_provenance())
+    return _merged(r, ["source", "relation", "target"])
 
 
 def resolve_cross_chunk(r: DataFrame, e: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ again after a failure replaces the version it had begun, so that nothing is coun
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.operators.merging import merge_entities
@@ -14,8 +15,11 @@ from quarry.operators.merging import merge_entities
 
 def merged_with(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
     """The stored entities and a batch as one, with the batch's records after all stored ones."""
-    every = batch if stored is None else stored.unionByName(batch.select(stored.columns))
-    return merge_entities(every)
+    if stored is None:
+        return merge_entities(batch)
+    last = stored.agg(F.coalesce(F.max("ord") + 1, F.lit(0)).alias("_last"))  # one row
+    late = batch.crossJoin(F.broadcast(last)).withColumn("ord", (F.col("ord") + F.col("_last")).cast(stored.schema["ord"].dataType))
+    return merge_entities(stored.unionByName(late.select(stored.columns)))
 
 
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema) -> StreamingQuery:

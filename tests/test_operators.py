@@ -92,6 +92,41 @@ def test_entities_are_validated_and_merged(spark):
     assert sorted(map(tuple, again)) == sorted((r["id"], r["frequency"], r["source_pages"]) for r in m.values())
 
 
+def test_merge_matches_a_plain_fold(spark):
+    """Many records of one id, repeated evidence, attributes written again and ties in length."""
+    r = random.Random(5)
+    ev = [None, "", "a fact", "a fact and more", "more", "other"]
+    rows = []
+    for k in range(400):
+        attrs = {a: str(k) for a in r.sample("pqrs", r.randrange(4))}
+        rows.append(("hot" if k % 3 else f"id{k % 7}", f"N{k}", f"n{k}", "T", r.choice([None, "", "x", "yy", "zz"]), r.sample(["a", "b", "c"], r.randrange(4)), attrs, r.random(), r.choice(ev), r.sample(range(9), 2), [k % 11], 1, k))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "id string, canonical_name string, name string, type string, description string, aliases array<string>, attributes map<string,string>, confidence double, evidence string, source_pages array<int>, source_chunks array<int>, frequency long, ord long").repartition(5)
+    got = {x["id"]: x for x in merging.merge_entities(df).collect()}
+    assert len(got) == len({x[0] for x in rows})
+    for i, x in got.items():
+        mine = sorted((y for y in rows if y[0] == i), key=lambda y: y[-1])
+        text, attrs = "", {}
+        for y in mine:
+            if y[8] and y[8] not in text:
+                text += ("\n" if text else "") + y[8]
+            attrs.update(y[6])
+        union = lambda c: sorted({v for y in mine for v in y[c]})
+        longest = max(mine, key=lambda y: (len(y[4] or ""), -y[-1]))
+        assert (x["evidence"] or "", x["attributes"], x["aliases"], x["source_pages"], x["source_chunks"]) == (text, attrs, union(5), union(9), union(10))
+        assert (x["canonical_name"], x["description"], x["frequency"], x["confidence"], x["ord"]) == (mine[0][1], longest[4], len(mine), max(y[7] for y in mine), mine[0][-1])
+
+
+def test_a_batch_comes_after_what_is_stored(spark):
+    from quarry.streaming.ingest import merged_with
+
+    shape = "id string, canonical_name string, name string, type string, description string, aliases array<string>, attributes map<string,string>, confidence double, evidence string, source_pages array<int>, source_chunks array<int>, frequency long, ord long"
+    row = lambda value, e, o: ("i", value, value, "T", "", [], {"k": value}, 0.5, e, [1], [1], 1, o)
+    stored = merged_with(None, spark.createDataFrame([row("old", "one", 7)], shape))
+    x = merged_with(stored, spark.createDataFrame([row("new", "two", 0)], shape)).collect()
+    assert [(y["canonical_name"], y["attributes"], y["evidence"], y["frequency"]) for y in x] == [("old", {"k": "new"}, "one\ntwo", 2)]
+
+
 def test_relationship_ends(spark):
     e = merging.entities_of(raw_entities(spark))
     raw = spark.createDataFrame(

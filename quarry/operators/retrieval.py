@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import alnum, chunk_line, entity_line, preview, source_line, tokens, triple_line
-from quarry.operators import graph, keywords
+from quarry.operators import graph, keywords, postings
 from quarry.operators.components import cut
 from quarry.operators.contains import contains_pairs
 
@@ -29,17 +30,32 @@ def token_overlap(questions: DataFrame, texts: DataFrame, least: int = 3) -> Dat
     return d.join(q, "t").groupBy("qid", "id").agg(F.count("*").alias("overlap"))
 
 
-def lexical_top_k(questions: DataFrame, texts: DataFrame, k: int = 3) -> DataFrame:
-    """(qid, id, overlap, rank): the texts of most shared tokens; ties go to the smaller id."""
-    return ranked(token_overlap(questions, texts), ["qid"], F.desc("overlap"), "id", most=k)
+def lexical_top_k(questions: DataFrame, texts: DataFrame, k: int = 3, least: int = 3) -> DataFrame:
+    """(qid, id, overlap, rank): the texts (id, text; ids are unique) of most shared tokens; ties go to the smaller id."""
+    asked = questions.select("qid", F.explode(F.array_distinct(tokens("question", least))).alias("t"))
+    if postings.fits(asked):
+        index = questions.sparkSession.sparkContext.broadcast(postings.Index(asked))
+        docs = texts.select("id", F.array_distinct(tokens(F.coalesce("text", F.lit("")), least)).alias("w"))
+        found = postings.best(docs, index, k, lambda token, times, length: times.astype(float), asked.schema["qid"].dataType.simpleString())
+        found = found.select("qid", "id", F.col("score").cast("long").alias("overlap"))
+    else:
+        found = token_overlap(questions, texts, least)
+    return ranked(found, ["qid"], F.desc("overlap"), "id", most=k)
 
 
 def bm25_top_k(questions: DataFrame, texts: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(qid, id, score, rank) by BM25 over norm() tokens; score rounded to 6 places before ranking."""
-    d = texts.select("id", tokens("text").alias("w")).select("id", "w", F.size("w").alias("len"))
+    """(qid, id, score, rank) by BM25 over norm() tokens of texts (id, text; ids are unique); score rounded to 6 places before ranking."""
+    d = texts.select("id", tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    q = questions.select("qid", F.explode(F.array_distinct(tokens("question"))).alias("t"))
+    if postings.fits(q):
+        index = questions.sparkSession.sparkContext.broadcast(postings.Index(q))
+        n, avg, df = postings.counts(d, index)
+        rare = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        weigh = lambda token, times, length: rare[token] * times * (k1 + 1) / (times + k1 * (1 - b + b * length / (avg or 1.0)))
+        return ranked(postings.best(d, index, k, weigh, q.schema["qid"].dataType.simpleString()), ["qid"], F.desc("score"), "id", most=k)
+    d = d.withColumn("len", F.size("w"))
     stats = d.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
     n, avg = stats["n"], stats["avg"] or 1.0
-    q = questions.select("qid", F.explode(F.array_distinct(tokens("question"))).alias("t"))
     tf = d.select("id", "len", F.explode("w").alias("t")).join(q.select("t").distinct(), "t").groupBy("id", "len", "t").agg(F.count("*").alias("tf"))
     df = tf.groupBy("t").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -112,9 +128,8 @@ def best_coverage(questions: DataFrame, pages: DataFrame) -> DataFrame:
     """(qid, id, coverage, contained): the page (id, text) with most of a question's tokens of three
     characters or more (then the least id), their share, and whether it has all of them."""
     q = questions.select("qid", F.array_distinct(tokens("question", 3)).alias("w")).where(F.size("w") > 0)
-    n = token_overlap(questions, pages).join(q.select("qid", F.size("w").alias("n")), "qid")
-    d = n.select("qid", "id", (F.col("overlap") / F.col("n")).alias("coverage"), (F.col("overlap") == F.col("n")).alias("contained"))
-    return ranked(d, ["qid"], F.desc("coverage"), "id", most=1).drop("rank")
+    n = lexical_top_k(questions, pages, 1).join(q.select("qid", F.size("w").alias("n")), "qid")
+    return n.select("qid", "id", (F.col("overlap") / F.col("n")).alias("coverage"), (F.col("overlap") == F.col("n")).alias("contained"))
 
 
 def spread(df: DataFrame, per_page: int = 2, most: int = 12) -> DataFrame:

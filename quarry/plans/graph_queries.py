@@ -64,7 +64,8 @@ def entity_merge(spark, d) -> DataFrame:
     return e.select("id", "canonical_name", _list("aliases"), "frequency", F.round("confidence", 6).alias("confidence"), "description", _list("source_pages"), keys)
 
 
-@query()
+@query(f"""WITH {_RECORDS} SELECT id, list_reduce(list(evidence ORDER BY ord), lambda s, e: CASE WHEN contains(s, e) THEN s ELSE s || chr(10) || e END) AS evidence,
+  '{{"price":"' || arg_max(p_retailprice, ord)::VARCHAR || '"}}' AS attributes FROM raw GROUP BY id""")
 def entity_evidence(spark, d) -> DataFrame:
     """A1's evidence fold and attribute maps"""
     e = merging.merge_entities(merging.entities_of(part_records(spark, d)))
@@ -366,7 +367,14 @@ def knn_filtered(spark, d) -> DataFrame:
     return vector.filtered_top_k(q, v, F.col("label") == 3)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_KNN}, near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, vec_id) AS r FROM s) WHERE r <= 20),
+likeness AS (SELECT a.qid, a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(x.e, y.e) AS c FROM near a JOIN near b ON a.qid = b.qid AND a.vec_id <> b.vec_id JOIN v x ON x.vec_id = a.vec_id JOIN v y ON y.vec_id = b.vec_id),
+picked AS (SELECT DISTINCT qid, []::BIGINT[] AS chosen FROM near UNION ALL
+  SELECT qid, list_append(any_value(chosen), first(vec_id ORDER BY worth DESC, r)) FROM (
+    SELECT p.qid, p.chosen, n.vec_id, n.r, 0.5 * any_value(n.cosine) - 0.5 * coalesce(max(l.c), 0) AS worth FROM picked p JOIN near n ON n.qid = p.qid AND NOT list_contains(p.chosen, n.vec_id)
+    LEFT JOIN likeness l ON l.qid = p.qid AND l.a = n.vec_id AND list_contains(p.chosen, l.b) WHERE len(p.chosen) < 5 GROUP BY p.qid, p.chosen, n.vec_id, n.r) GROUP BY qid),
+done AS (SELECT qid, arg_max(chosen, len(chosen)) AS chosen FROM picked GROUP BY qid)
+SELECT qid, chosen[rank] AS vec_id, rank::INTEGER AS rank FROM done, range(1, len(chosen) + 1) AS t(rank)""")
 def mmr(spark, d) -> DataFrame:
     """V2"""
     return vector.mmr(*_vectors(spark, d))

@@ -271,7 +271,22 @@ def keyword_rank(spark, d) -> DataFrame:
     return keywords.ranked_keywords(questions(spark, d), texts(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query()
+_GRAPH_STOP = "(" + ", ".join(f"'{w}'" for w in keywords.GRAPH_STOP_WORDS) + ")"
+
+
+@query(rf"""WITH RECURSIVE b AS (SELECT item_id, regexp_replace(text, '[^\x00-\x7F]', '_', 'g') AS text FROM benchmark), c AS (
+  SELECT item_id AS qid, 3 AS prio, p.pos, p.w FROM b, unnest(regexp_extract_all(text, '{keywords.RUN_PLAIN}')) WITH ORDINALITY AS p(w, pos)
+  UNION ALL SELECT item_id, 2, p.pos, p.w FROM b, unnest(regexp_extract_all(text, '{keywords.CAPITAL_OR_DIGIT}')) WITH ORDINALITY AS p(w, pos)
+  UNION ALL SELECT item_id, 1, p.pos, p.w FROM b, unnest(regexp_extract_all(text, '{keywords.LOWER}')) WITH ORDINALITY AS p(w, pos)),
+k AS (SELECT qid, prio, pos, trim(regexp_replace(trim(trim(trim(w), '{keywords.EDGE}')), '{keywords.PARTICLE}', '')) AS kw FROM c),
+u AS (SELECT qid, lower(kw) AS low, arg_max(kw, prio * 1000000 - pos) AS keyword, max(prio) AS prio FROM k WHERE kw <> '' AND lower(kw) NOT IN {_GRAPH_STOP} GROUP BY ALL),
+w AS (SELECT *, ' ' || array_to_string(list_filter(regexp_split_to_array(low, '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' ' AS words, row_number() OVER (PARTITION BY qid ORDER BY prio DESC, length(keyword) DESC, low) AS i FROM u),
+f AS (SELECT DISTINCT qid, 0::BIGINT AS i, []::VARCHAR[] AS kept, false AS ok FROM w UNION ALL SELECT qid, i, CASE WHEN ok THEN list_append(kept, words) ELSE kept END, ok FROM (
+  SELECT f.qid, w.i, f.kept, w.words, w.words <> '  ' AND (regexp_matches(w.keyword, '^[A-Z0-9][A-Z0-9.\-]{{2,}}$') OR len(list_filter(f.kept, lambda x: contains(x, w.words))) = 0) AS ok FROM f JOIN w ON w.qid = f.qid AND w.i = f.i + 1)),
+g AS (SELECT w.qid, w.keyword, w.low, w.prio FROM w JOIN f ON f.qid = w.qid AND f.i = w.i AND f.ok),
+df AS (SELECT low, (SELECT count(*) FROM documents d WHERE contains(lower(d.text), t.low)) AS df FROM (SELECT DISTINCT low FROM g) t),
+s AS (SELECT qid, keyword, low, prio * 100 + least(length(keyword), 15) + ((SELECT count(*) FROM documents) - df) / (SELECT count(*) FROM documents)::DOUBLE * 30.0 AS score FROM g JOIN df USING (low))
+SELECT qid, keyword, low, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, low) AS rank FROM s) WHERE rank <= 6""")
 def keyword_select(spark, d) -> DataFrame:
     """R3, R4"""
     return keywords.selected_keywords(questions(spark, d), texts(spark, d)).withColumn("score", F.round("score", 6))

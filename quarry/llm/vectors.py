@@ -10,7 +10,10 @@ of a group's size, dealt out in pairs of blocks; what no pass brought together i
 
 The number of passes follows from the number of classes: two vectors at the threshold meet in a window
 if they share about log2(classes / window) leading bits, and there are passes enough that a pair with
-nothing else near it is missed once in 1 / MISS times (measured: README). exact=True compares all
+nothing else near it is missed once in 1 / MISS times (measured: README). Where vectors crowd together
+without reaching NEAR, more bits are shared: the bits that rows a window apart share are counted over all
+rows without a near neighbour, and if by these counts more than WORST of such pairs would be missed, as
+many further passes follow as bring it down to that. exact=True compares all
 classes in blocks after the passes, which is quadratic in their number: it is there to measure recall.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.shared import components, cut, forest
 
-THRESHOLD, NEAR, MISS, WINDOW, BITS = 0.95, 0.8, 1e-4, 24, 48
+THRESHOLD, NEAR, MISS, WORST, WINDOW, BITS = 0.95, 0.8, 1e-4, 1e-3, 24, 48
 BLOCK, SPAN = 512, 8192  # vectors of a block of a group, and of all classes
 LAST = 2**63 - 1
 
@@ -40,6 +43,24 @@ def passes_for(n: int, *, threshold: float = THRESHOLD, window: int = WINDOW, mi
     return int(np.ceil(np.log(miss) / np.log1p(-min(met, 0.9))))
 
 
+def passes_by(shared: dict[int, int], passes: int, *, threshold: float = THRESHOLD, worst: float = WORST) -> int:
+    """Passes, at least those given, after which `worst` of the pairs at the threshold are missed, where shared
+    counts rows by the leading bits that they share with the row a window away."""
+    bits = np.array(list(shared), float)
+    rows = np.array(list(shared.values()), float)
+    met = np.minimum((1 - np.arccos(threshold) / np.pi) ** bits, 0.9)
+    missed = lambda p: float(rows @ (1 - met) ** p) > worst * rows.sum()
+    if not len(rows) or not missed(passes):
+        return passes
+    low, high = passes, 2 * passes
+    while missed(high):
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if missed(mid) else (low, mid)
+    return high
+
+
 def _unit(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(rows, unit vectors as float64) for each dimension in an array of vectors without nulls."""
     lengths = np.diff(column.offsets.to_numpy())
@@ -82,9 +103,10 @@ def _project(passes: int, bits: int, seed: int):
     return run
 
 
-def _neighbours(window: int, threshold: float, kind: pa.DataType):
-    """Streams rows in the order of a pass; yields spanning edges (u, v) of the pairs that reach the
-    threshold and, with null ends, the task's first and last `window` rows, for pairs over its bounds."""
+def _neighbours(window: int, threshold: float, bits: int, kind: pa.DataType):
+    """Streams rows in the order of a pass; yields spanning edges (a, b) of the pairs that reach the
+    threshold; with a null, how many rows without such a pair (key) share b leading bits with the row a
+    window away; and with both null, the task's first and last `window` rows, for pairs over its bounds."""
     names = ["dim", "pass", "key", "rep", "v"]
 
     def edges(us, vs) -> pa.RecordBatch:
@@ -95,8 +117,14 @@ def _neighbours(window: int, threshold: float, kind: pa.DataType):
         none = pa.nulls(table.num_rows, pa.int64())
         return pa.table([none, none, *(table.column(n).cast(kind if n == "v" else pa.int64()) for n in names)], names=["a", "b", *names]).combine_chunks().to_batches()
 
+    def histogram(counts: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(counts)
+        none = pa.nulls(len(at), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array(at, pa.int64()), none, none, pa.array(counts[at], pa.int64()), none, pa.nulls(len(at), kind)], names=["a", "b", *names])
+
     def run(batches):
         held, seen = None, 0
+        near, shared = np.zeros(0, bool), np.zeros(bits + 1, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -105,10 +133,11 @@ def _neighbours(window: int, threshold: float, kind: pa.DataType):
                 yield from ends(new.slice(0, window - seen))
             seen += batch.num_rows
             table = new if held is None else pa.concat_tables([held, new]).combine_chunks()
-            cols = [table.column(n).combine_chunks() for n in ("dim", "pass", "rep", "v")]
-            dim, which, rep = (c.to_numpy(zero_copy_only=False) for c in cols[:3])
+            near = np.concatenate([near, np.zeros(batch.num_rows, bool)])
+            cols = [table.column(n).combine_chunks() for n in ("dim", "pass", "rep", "key", "v")]
+            dim, which, rep, key = (c.to_numpy(zero_copy_only=False) for c in cols[:4])
             us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for rows, x in _unit(cols[3]):
+            for rows, x in _unit(cols[4]):
                 for d in range(1, window + 1):
                     if len(rows) <= d:
                         break
@@ -117,9 +146,16 @@ def _neighbours(window: int, threshold: float, kind: pa.DataType):
                     ok &= np.einsum("ij,ij->i", x[:-d], x[d:]) >= threshold
                     us.append(rep[a[ok]])
                     vs.append(rep[b[ok]])
+                    near[a[ok]] = near[b[ok]] = True
             if sum(map(len, us)):
                 yield edges(us, vs)
-            held = table.slice(max(0, table.num_rows - window))
+            apart = (which[:-window] == which[window:]) & (dim[:-window] == dim[window:]) & ~near[:-window]
+            differing = np.frexp((key[:-window] ^ key[window:])[apart].astype(float))[1]  # the length of the first difference and what follows
+            shared += np.bincount(bits - differing, minlength=bits + 1)
+            last = max(0, table.num_rows - window)
+            held, near = table.slice(last), near[last:]
+        if shared.any():
+            yield histogram(shared)
         if held is not None and seen > window:
             yield from ends(held.slice(max(0, held.num_rows - (seen - window))))
 
@@ -186,16 +222,26 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, near: f
     classes = valid.groupBy("v").agg(F.coalesce(F.min("vec_id"), F.lit(LAST)).alias("first"), F.count("*").alias("n"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("rep"), "v", "first", "n"))
     kind = classes.schema["v"].dataType
-    passes = passes or passes_for(classes.count(), threshold=threshold, window=window)
     shape = f"dim long, pass long, key long, rep long, v {kind.simpleString()}"
-    keyed = classes.select("rep", "v").mapInArrow(_project(passes, bits, seed), shape)
     order = ["dim", "pass", "key", "rep"]
     arrow = pa.list_(pa.float64() if "double" in kind.simpleString() else pa.float32())
-    compare = _neighbours(window, threshold if exact else min(near, threshold), arrow)
-    met = cut(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, f"a long, b long, {shape}"))
-    # the ends of all tasks in one: a few dozen rows for each
-    over = met.where("a is null").select(*order, "v").coalesce(1).sortWithinPartitions(*order).mapInArrow(compare, f"a long, b long, {shape}")
-    pairs = met.unionByName(over).where("a is not null").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    compare = _neighbours(window, threshold if exact else min(near, threshold), bits, arrow)
+
+    def sweep(passes: int, seed: int) -> tuple[DataFrame, DataFrame]:
+        """(u, v) of the pairs found in so many passes, and what their tasks counted."""
+        keyed = classes.select("rep", "v").mapInArrow(_project(passes, bits, seed), shape)
+        met = cut(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, f"a long, b long, {shape}"))
+        # the ends of all tasks in one: a few dozen rows for each
+        over = met.where("a is null and b is null").select(*order, "v").coalesce(1).sortWithinPartitions(*order).mapInArrow(compare, f"a long, b long, {shape}")
+        return met.unionByName(over).where("a is not null").select(F.col("a").alias("u"), F.col("b").alias("v")), met
+
+    planned = passes or passes_for(classes.count(), threshold=threshold, window=window)
+    pairs, met = sweep(planned, seed)
+    if not passes and not exact:
+        shared = met.where("a is null and b is not null").groupBy("b").agg(F.sum("key").alias("n"))  # a row for each number of bits
+        further = passes_by(dict(map(tuple, shared.collect())), planned, threshold=threshold) - planned
+        if further:
+            pairs = pairs.unionByName(sweep(further, seed + 1)[0])
     if exact:
         spans = max(1, -(-classes.count() // SPAN))
         m = classes.select("rep", "n", "v", F.lit(0).cast("long").alias("g"), F.lit(spans).cast("long").alias("k"))

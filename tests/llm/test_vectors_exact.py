@@ -67,3 +67,34 @@ def test_groups_alone_find_what_lies_in_a_dense_crowd(spark):
     full = {k: n for k, n, *_ in vectors.near_duplicates(df, exact=True).collect()}
     assert all(full[k] == near[k].sum() for k in range(len(x)))
     assert sum(got.values()) >= 0.98 * near.sum() and all(got[k] <= near[k].sum() for k in range(len(x)))
+
+
+def test_passes_follow_what_rows_share():
+    """More shared bits ask for more passes, and never for fewer than are given."""
+    assert vectors.passes_by({}, 9) == 9 and vectors.passes_by({3: 100}, 30) == 30
+    got = [vectors.passes_by({3: 10, depth: 1000}, 20) for depth in (5, 10, 20, 30, 40)]
+    assert got == sorted(got) and got[0] == 20 and got[-1] > 10 * got[1]
+    for depth, p in zip((5, 10, 20, 30, 40), got):
+        met = (1 - np.arccos(0.95) / np.pi) ** depth
+        missed = 1000 * (1 - met) ** p + 10 * (1 - (1 - np.arccos(0.95) / np.pi) ** 3) ** p
+        assert missed <= 1.01 and (p == 20 or missed > 0.9)
+
+
+def test_a_crowd_below_near_gets_further_passes(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    c = x[0]
+    x[:2000] = np.sqrt(0.6) * c + np.sqrt(0.4) * x[:2000]
+    e = r.standard_normal((200, 64))
+    x[1800:2000] = x[:200] + 0.3 * e / np.linalg.norm(e, axis=1)[:, None]
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (y @ y.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    asked, plain = [], vectors.passes_by
+    monkeypatch.setattr(vectors, "passes_by", lambda d, p, **k: asked.append((d, p, plain(d, p, **k))) or asked[-1][2])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {k: n for k, n, *_ in vectors.near_duplicates(df, window=4).collect()}
+    shared, planned, done = asked[0]
+    assert done > planned and 0 < sum(shared.values()) <= planned * len(x)
+    assert near.any() and sum(got.values()) >= 0.99 * near.sum()
+    assert all(got[k] <= near[k].sum() for k in range(len(x)))

@@ -143,10 +143,11 @@ def paths(edges: DataFrame, seeds: DataFrame, depth: int = 3, most: int = 60) ->
 
     Depth-first order is the lexicographic order of (seed rank, edge ordinals), a chain before those it
     begins. A chain behind `most` others of its own length can't be among the first, so each level
-    keeps no more than that.
+    keeps no more than that, and no node needs more than its first `most` edges, to which tasks cut
+    a hub before it is gathered.
     """
     o = Window.partitionBy("src").orderBy("dst", "rel")
-    e = edges.select("src", "dst", F.row_number().over(o).alias("k"))
+    e = edges.select("src", "dst", F.row_number().over(o).alias("k")).where(F.col("k") <= most)
     w = Window.partitionBy("qid").orderBy("ordinals")
     level = seeds.select("qid", F.array("id").alias("chain"), F.array("rank").alias("ordinals"))
     every = None

@@ -159,6 +159,29 @@ def random_graph(spark, n=40, m=60, seed=2):
     return e, spark.createDataFrame(e, "src string, rel string, dst string").repartition(3)
 
 
+def test_paths_from_a_hub(spark):
+    """The first chains in depth-first order, with far more edges at one node than chains are wanted."""
+    r = random.Random(6)
+    e = sorted({("hub", "R", f"n{r.randrange(300):03}") for _ in range(200)} | {(f"n{r.randrange(300):03}", "R", r.choice(["hub", f"n{r.randrange(300):03}"])) for _ in range(150)})
+    df = spark.createDataFrame(e, "src string, rel string, dst string").repartition(4)
+    seeds = spark.createDataFrame([(1, "hub", 1), (1, "n005", 2), (2, "n010", 1)], "qid long, id string, rank int")
+    out: dict[str, list[str]] = {}
+    for a, _, b in e:
+        out.setdefault(a, []).append(b)
+
+    def walk(chain, left):
+        for b in sorted(out.get(chain[-1], [])) if left else ():
+            yield [*chain, b]
+            yield from walk([*chain, b], left - 1)
+
+    for most in (7, 60):
+        got: dict[int, list] = {}
+        for x in sorted(graph.paths(df, seeds, 3, most).collect(), key=lambda x: (x["qid"], x["ordinals"])):
+            got.setdefault(x["qid"], []).append(x["chain"])
+        want = {1: [*walk(["hub"], 3), *walk(["n005"], 3)][:most], 2: list(walk(["n010"], 3))[:most]}
+        assert got == {k: v for k, v in want.items() if v}
+
+
 def test_components(spark):
     e, df = random_graph(spark, 60, 45)
     label = {x: x for a, _, b in e for x in (a, b)}

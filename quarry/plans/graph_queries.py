@@ -310,7 +310,7 @@ def mention_index(spark, d) -> DataFrame:
 def question_graph(spark, d) -> retrieval.Graph:
     chunks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
     e = terms(spark, d)
-    m = retrieval.mentions(e, chunks).groupBy("id").agg(F.min("chunk").alias("page"))
+    m = retrieval.mentions(e, chunks, once=False).groupBy("id").agg(F.min("chunk").alias("page"))
     e = e.join(m, "id", "left").select("id", "name", "type", "aliases", "source_text", "page")
     w = table(spark, d, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit(r"(?:^|[^A-Za-z\p{L}])([A-Z][a-z]{4,})(?![a-z\p{L}])"), F.lit(1)).alias("w")).where(F.size("w") > 1)
     pairs = w.select("item_id", F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b"))).alias("p"))

@@ -1,7 +1,8 @@
 """Vector retrieval (inventory V1-V5, T1, S12): exact cosine top-k in blocks, MMR, filters.
 
 Queries are a stated set. Both sides are cut into blocks that meet by an equality on the block pair;
-each pair gives only its k best a query, so what is shuffled back is k rows a query and block.
+each pair gives only its k best a query, so what is shuffled back is k rows a query and block. A task holds
+the cosines of SLICE queries to one block at a time, however many there are.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+BLOCK, SLICE = 4096, 256
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -19,6 +20,21 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
 
 
+def _nearest(cos: np.ndarray, ids: np.ndarray, vec: np.ndarray, k: int, with_self: bool) -> tuple[np.ndarray, ...]:
+    """(query, vector, cosine) of the k best of each row of cos; ties go to the smaller vec_id."""
+    if not with_self:
+        cos[ids[:, None] == vec[None, :]] = -np.inf
+    cos[np.isnan(cos)] = -np.inf
+    take = []
+    for row in cos:
+        some = np.flatnonzero(row >= np.partition(row, -k)[-k]) if k < len(row) else np.arange(len(row))
+        take.append(some[np.lexsort((vec[some], -row[some]))[:k]])
+    at = np.concatenate(take)
+    rows = np.repeat(np.arange(len(ids)), [len(t) for t in take])
+    ok = np.isfinite(cos[rows, at])
+    return ids[rows][ok], vec[at][ok], cos[rows, at][ok]
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, *, with_self: bool = False) -> DataFrame:
     """(qid, vec_id, cosine, rank) of the k nearest of vectors (vec_id, embedding) to queries (qid, embedding).
 
@@ -31,19 +47,16 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, *, with_self: bool
     q = q.select("qid", "embedding", F.pmod(F.xxhash64("qid"), F.lit(nq)).alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long"))).alias("b"))
     v = v.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(nv)).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("a"))
 
+    at = SLICE
+
     def block(ql: pa.Table, vl: pa.Table) -> pa.Table:
         empty = ([], [], [])
         if ql.num_rows and vl.num_rows:
             dim = len(ql.column("embedding")[0])
             ids, vec = ql.column("qid").to_numpy(), vl.column("vec_id").to_numpy()
-            cos = np.round(_matrix(ql.column("embedding"), dim) @ _matrix(vl.column("embedding"), dim).T, 6)
-            if not with_self:
-                cos[ids[:, None] == vec[None, :]] = -np.inf
-            take = [np.lexsort((vec, -row))[:k] for row in cos]
-            at = np.concatenate(take)
-            rows = np.repeat(np.arange(len(ids)), [len(t) for t in take])
-            ok = np.isfinite(cos[rows, at])
-            empty = (ids[rows][ok], vec[at][ok], cos[rows, at][ok])
+            x, y = _matrix(ql.column("embedding"), dim), _matrix(vl.column("embedding"), dim).T
+            got = [_nearest(np.round(x[i : i + at] @ y, 6), ids[i : i + at], vec, k, with_self) for i in range(0, len(ids), at)]
+            empty = tuple(map(np.concatenate, zip(*got, strict=True)))
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("qid", "vec_id", "cosine"), empty, (pa.int64(), pa.int64(), pa.float64()))})
 
     near = q.groupBy("a", "b").cogroup(v.groupBy("a", "b")).applyInArrow(block, "qid long, vec_id long, cosine double")

@@ -308,6 +308,23 @@ def test_vectors(spark):
     assert len(picked) == 3 and picked[0]["vec_id"] == near[0][0]
 
 
+def test_nearest_a_few_queries_at_a_time(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = np.round(r.standard_normal((90, 3)))  # with many ties
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    q = v.select(F.col("vec_id").alias("qid"), "embedding")
+    want = [tuple(t) for t in vector.top_k(q, v, 4).orderBy("qid", "rank").collect()]
+    monkeypatch.setattr(vector, "SLICE", 7)
+    assert [tuple(t) for t in vector.top_k(q, v, 4).orderBy("qid", "rank").collect()] == want
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    some = np.flatnonzero(np.any(x != 0, axis=1))
+    cos = np.round(u[some] @ u[some].T, 6)
+    np.fill_diagonal(cos, -np.inf)
+    assert [(t[0], t[1]) for t in want] == [(a, some[j]) for a, row in zip(some, cos) for j in np.lexsort((some, -row))[:4]]
+    cos[:, 3] = np.nan
+    assert len(vector._nearest(cos, some, some, 2, False)[0]) == 2 * len(some)
+
+
 def test_gate_and_ranks(spark):
     r = spark.createDataFrame([(True, False, True, False, 0.9, 0.2, 10), (False, False, True, True, 0.5, 0.5, 20)], "new_page_on boolean, old_page_on boolean, new_chunk_on boolean, old_chunk_on boolean, new_recall double, old_recall double, new_candidates int")
     g = evaluation.gate(r, 100).first()

@@ -1,7 +1,7 @@
 """Best documents of many questions by shared tokens, ranked where the documents are (inventory R15, C5, W2).
 
 Questions' tokens, when there are at most MOST of them, go to the tasks as an inverted index; each task scores
-its documents a block at a time and returns the k best a question, so that no pair of a question and a
+its documents a few at a time (WORDS words, PENDING scores) and returns the k best a question, so that no pair of a question and a
 document is shuffled however common its tokens are. `fits` says whether that is possible.
 """
 
@@ -13,7 +13,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST, CELLS, PENDING = 2_000_000, 1 << 17, 1 << 20
+MOST, CELLS, PENDING, WORDS = 2_000_000, 1 << 17, 1 << 18, 1 << 18
+
+
+def pieces(batch: pa.RecordBatch, column: int, words: int):
+    """The batch in runs of rows whose lists have at most `words` elements together, or single rows."""
+    ends = batch.column(column).offsets.to_numpy()
+    first = 0
+    while first < batch.num_rows:
+        end = max(first + 1, int(np.searchsorted(ends, ends[first] + words, "right")) - 1)
+        yield batch.slice(first, end - first)
+        first = end
 
 
 def fits(asked: DataFrame, most: int = MOST) -> bool:
@@ -59,10 +69,12 @@ class Index:
 def counts(docs: DataFrame, index) -> tuple[int, float, np.ndarray]:
     """(documents, mean length, documents with each token) of docs (id, w), summed in the tasks first."""
 
+    words = WORDS
+
     def run(batches):
         n = length = 0
         df = np.zeros(len(index.value.tokens), np.int64)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, 0, words)):
             _, token, _, sizes = index.value.hits(batch.column(0))
             n, length = n + len(sizes), length + int(sizes.sum())
             df += np.bincount(token, minlength=len(df))
@@ -93,6 +105,8 @@ def best(docs: DataFrame, index, k: int, weigh, kind: str) -> DataFrame:
         floor[q[last]] = score[last]
         return q[keep], score[keep], t.column("id").combine_chunks().take(pa.array(keep)), floor
 
+    most, words = PENDING, WORDS
+
     def run(batches):
         held: list[tuple] = []
         pending, floor = 0, np.full(len(index.value.qids), -np.inf)
@@ -101,16 +115,16 @@ def best(docs: DataFrame, index, k: int, weigh, kind: str) -> DataFrame:
             q, score, ids, low = pick(*(np.concatenate(c) for c in list(zip(*held))[:2]), pa.concat_arrays([h[2] for h in held]))
             return [(q, score, ids)], len(q), low
 
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, 1, words)):
             row, token, times, sizes = index.value.hits(batch.column(1))
             for at, q, total in index.value.sums(row, token, weigh(token, times, sizes[row]), len(sizes)):
                 score = np.round(total, 6)
                 ok = score >= floor[q]
                 held.append((q[ok], score[ok], batch.column(0).take(pa.array(at[ok]))))
                 pending += int(ok.sum())
-                if pending > PENDING:
+                if pending > most:
                     held, kept, floor = squeezed()
-                    pending = min(kept, PENDING // 2)  # where k a question are many, squeeze after as many again
+                    pending = min(kept, most // 2)  # where k a question are many, squeeze after as many again
         if held:
             held, _, _ = squeezed()
             q, score, ids = held[0]

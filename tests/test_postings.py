@@ -42,3 +42,14 @@ def test_empty_sides(spark):
     for f in (retrieval.lexical_top_k, retrieval.bm25_top_k):
         assert f(q.limit(0), d).count() == 0 and f(q, d.limit(0)).count() == 0
         assert f(q.where("qid = 90"), d).count() == 0
+
+
+def test_pieces_are_small_and_whole():
+    import pyarrow as pa
+
+    lists = [["w"] * n for n in (3, 0, 4, 9, 1, 1, 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(lists, pa.list_(pa.string()))], names=["id", "w"])
+    for whole in (batch, batch.slice(2, 4), batch.slice(0, 0)):
+        got = list(postings.pieces(whole, 1, 5))
+        assert [r for p in got for r in p.to_pylist()] == whole.to_pylist()
+        assert all(p.num_rows == 1 or len(p.column(1).flatten()) <= 5 for p in got)

@@ -228,6 +228,14 @@ def test_reach_and_paths(spark):
         assert sorted(chains.get(q, [])) == sorted(first)
 
 
+def test_neighbours_are_paired_before_they_are_counted(spark):
+    df = spark.createDataFrame([("a", "R", "b"), ("b", "S", "a"), ("a", "S", "b"), ("a", "R", "a"), ("b", "R", "c"), (None, "R", "c")], "src string, rel string, dst string")
+    d = graph.neighbour_degrees(df)
+    assert dict(map(tuple, d.collect())) == {"a": 1, "b": 2, "c": 1}
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.rindex("Aggregate")  # pairs are made one below, not both their ends
+
+
 def test_small_graph_statistics(spark):
     nodes = spark.createDataFrame([("a", "Alpha", "T", ["beta"]), ("b", "Beta", "T", []), ("c", "alpha", "U", []), ("d", "Lone", "U", [])], "id string, name string, type string, aliases array<string>")
     e = spark.createDataFrame([("a", "R", "b"), ("b", "S", "a"), ("a", "OWNS", "c"), ("c", "OWNED_BY", "a"), ("a", "R", "a")], "src string, rel string, dst string")

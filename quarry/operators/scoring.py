@@ -221,3 +221,34 @@ def anchored_scores(w: Anchored, cells: int):
             yield first, np.minimum(hits * 5.0, 10.0) + near + 1.5 * np.minimum(count(kws), 4) + 0.25 * np.minimum(count(words), 8), (hits > 0) | (near > 0)
 
     return of
+
+
+# --- R15 ------------------------------------------------------------------------------------------
+
+class Matched:
+    """What R15 looks for: kept entities (qid, id), keywords and tokens (qid, t)."""
+
+    def __init__(self, kind: str, qids: pa.Array, kept: pa.Table, kws: pa.Table, asked: pa.Table):
+        self.kind, self.qids, self.n = kind, qids, len(qids)
+        self.ids = pc.unique(kept.column("id"))
+        self.kept = Links(numbers(kept.column("id"), self.ids), numbers(kept.column("qid"), qids), len(self.ids))
+        self.kws, self.asked = Wanted(kws, qids), Wanted(asked, qids)
+
+
+def matched_scores(w: Matched, cells: int):
+    """R15's scores of batches (id, page, ids: its entities, words: its distinct tokens, low: the text in lower case)."""
+    automaton = numbered(w.kws.terms.to_pylist())
+
+    def of(batch: pa.RecordBatch):
+        def hits(column: str, known: pa.Array):
+            lists = batch.column(column)
+            row, x = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), numbers(lists.flatten(), known)
+            return row[x >= 0], x[x >= 0]
+
+        kept, words = w.kept(*hits("ids", w.ids)), w.asked.links(*hits("words", w.asked.terms))
+        kws = w.kws.links(*occurring(automaton, batch.column("low").to_pylist()))
+        for first, end in steps(batch.num_rows, w.n, cells):
+            count = lambda x: dense(end - first, w.n, *between(*x, first, end))  # noqa: B023, E731
+            yield first, (count(words) + 2 * count(kws)).astype(float), count(kept) > 0
+
+    return of

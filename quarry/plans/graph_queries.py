@@ -337,9 +337,9 @@ def chunk_context(spark, d) -> DataFrame:
     """Keywords, matched terms, the documents that mention them, the best three"""
     chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("page_start"), F.col("doc_id").alias("page_end"))
     e = terms(spark, d)
-    m = retrieval.mentions(e, chunks.select(F.col("chunk_id").alias("id"), "text")).groupBy("id").agg(F.array_sort(F.collect_set("chunk")).alias("source_chunks"))
-    e = e.join(m, "id", "left").select("id", "name", F.col("name").alias("canonical_name"), "aliases", F.lit("").alias("description"), F.col("n").alias("frequency"), F.coalesce("source_chunks", F.array().cast("array<long>")).alias("source_chunks"))
-    return retrieval.chunk_context(questions(spark, d), e, chunks)
+    links = retrieval.mentions(e, chunks.select(F.col("chunk_id").alias("id"), "text"), once=False).select("id", F.col("chunk").alias("chunk_id"))
+    e = e.select("id", "name", F.col("name").alias("canonical_name"), "aliases", F.lit("").alias("description"), F.col("n").alias("frequency"))
+    return retrieval.chunk_context(questions(spark, d), e, chunks, links=links)
 
 
 # --- vectors and chunks -------------------------------------------------------------------------

@@ -47,3 +47,15 @@ def test_mentions_without_short_names(spark):
     plan = retrieval.mentions(long_.selectExpr("id", "name", "array() aliases"), c, once=False)._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and "Aggregate [id" not in plan.split("Join")[0]
     assert {r["id"] for r in retrieval.mentions(e, c, once=False).collect()} == {"e0", "e1", "e2", "e3"}
+
+
+def test_chunk_context_by_links_arrays_and_joins(spark, monkeypatch):
+    c, e, q, *_ = graph_of(spark)
+    c = c.selectExpr("id as chunk_id", "text", "page as page_start", "page + 1 as page_end")
+    e = e.selectExpr("id", "name", "name as canonical_name", "coalesce(aliases, array()) as aliases", "'' as description", "1L as frequency")
+    links = retrieval.mentions(e, c.selectExpr("chunk_id as id", "text"), once=False).withColumnRenamed("chunk", "chunk_id")
+    arrays = e.join(links.groupBy("id").agg({"chunk_id": "collect_set"}).toDF("id", "source_chunks"), "id", "left")
+    got = [set(map(tuple, retrieval.chunk_context(q, e, c, links=links.union(links)).collect())), set(map(tuple, retrieval.chunk_context(q, arrays, c).collect()))]
+    monkeypatch.setattr(scoring, "few", lambda *_: None)
+    want = set(map(tuple, retrieval.chunk_context(q, arrays, c).collect()))
+    assert len(want) >= 6 and got == [want, want]

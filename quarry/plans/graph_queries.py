@@ -171,17 +171,19 @@ def duplicate_names(spark, d) -> DataFrame:
 
 
 def _line_edges(spark, d) -> DataFrame:
-    """Documents to the lines they hold, by hash; documents that share a line are connected through it."""
+    """(u, v): documents and the least document that holds one of their lines, by hash; lines of one document make none."""
     t = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).where("line <> ''")
-    return t.select(F.concat(F.lit("d"), "doc_id").alias("u"), F.concat(F.lit("l"), F.md5("line")).alias("v")).distinct()
+    t = t.select("doc_id", F.unhex(F.md5("line")).alias("line"))
+    first = t.groupBy("line").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).where("v < last").select("line", "v")
+    return t.join(first, "line").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
 
 
 def _doc_components(spark, d) -> DataFrame:
-    """(component, size) counting documents only, components without a line included"""
+    """(component, size) counting documents, components without a line included"""
     from quarry.operators.components import connected
 
-    c = connected(_line_edges(spark, d)).where("startswith(id, 'd')")
-    every = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id")).distinct()
+    c = connected(_line_edges(spark, d))
+    every = table(spark, d, "documents").select(F.col("doc_id").alias("id")).distinct()
     return every.join(c, "id", "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.count("*").alias("size"))
 
 
